@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexforge.functions.text import doc_info, prettify_date
 from lexforge.operators import graph, vectors
 from lexforge.schemas import NO_DATE, NOT_GIVEN
+from lexforge.session import materialize
 
 
 def search_context(queries: DataFrame, chunk_vectors: DataFrame, rows: DataFrame, k: int = 3, dim: int = 64) -> DataFrame:
@@ -17,7 +18,8 @@ def search_context(queries: DataFrame, chunk_vectors: DataFrame, rows: DataFrame
     document, chapter and article counts; chunks without a path get defaults.
     """
     hits = vectors.search(queries, chunk_vectors.select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vec")), k, dim)
-    hits = hits.select("query_id", "rank", F.col("id").alias("chunk_id"), "similarity")
+    # read three times below: k rows a query, kept as a table
+    hits = materialize(hits.select("query_id", "rank", F.col("id").alias("chunk_id"), "similarity"), "hits")
     w = Window.partitionBy("chunk_id").orderBy("doc_id", "chapter", "article")
     path = graph.paths(hits, rows).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     text = chunk_vectors.select("chunk_id", F.col("original_text").alias("content"))

@@ -28,6 +28,11 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return x
 
 
+def _good(x: np.ndarray) -> np.ndarray:
+    """Rows of finite numbers that aren't all zero; nulls have become NaN."""
+    return np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+
+
 def search(queries: DataFrame, corpus: DataFrame, k: int = 3, dim: int = 64, most_queries: int = 20_000) -> DataFrame:
     """(query_id, id, similarity, rank): the k best of ``corpus`` (id, vec) for each of ``queries`` (query_id, vec).
 
@@ -37,16 +42,18 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 3, dim: int = 64, mos
     """
     spark = corpus.sparkSession
     ship_package(spark)
-    q = queries.where(usable(F.col("vec"), dim)).select("query_id", "vec")
+    q = queries.where(F.size("vec") == dim).select("query_id", "vec")
     blocks = -(-max(1, q.count()) // most_queries)
-    c = corpus.where(usable(F.col("vec"), dim)).select("id", "vec")
+    c = corpus.where(F.size("vec") == dim).select("id", "vec")
     id_type, q_type = (df.schema[n].dataType.simpleString() for df, n in ((corpus, "id"), (queries, "query_id")))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     out = None
     for b in range(blocks):
         part = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow().combine_chunks()
         m = _matrix(part.column("vec").combine_chunks(), dim) if len(part) else np.zeros((0, dim))
-        held = spark.sparkContext.broadcast((part.column("query_id").combine_chunks() if len(part) else None, m, np.sqrt((m * m).sum(axis=1))))
+        good = _good(m)
+        m = m[good]
+        held = spark.sparkContext.broadcast((part.column("query_id").combine_chunks().filter(pa.array(good)) if len(part) else None, m, np.sqrt((m * m).sum(axis=1))))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             names, x, nx = held.value
@@ -54,10 +61,14 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 3, dim: int = 64, mos
                 if names is None or not rb.num_rows:
                     continue
                 y = _matrix(rb.column("vec"), dim)
+                good = _good(y)
+                y, ids = y[good], rb.column("id").filter(pa.array(good))
+                if not len(y) or not len(x):
+                    continue
                 sim = np.round((x @ y.T) / (nx[:, None] * np.sqrt((y * y).sum(axis=1))[None, :]), 6)
                 least = np.partition(sim, len(y) - min(k, len(y)), axis=1)[:, len(y) - min(k, len(y))]
                 r, j = np.nonzero(sim >= least[:, None])  # all ties; the window below settles them
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(r)), rb.column("id").take(pa.array(j)), pa.array(sim[r, j])], names=["query_id", "id", "similarity"])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(r)), ids.take(pa.array(j)), pa.array(sim[r, j])], names=["query_id", "id", "similarity"])
 
         hits = c.mapInArrow(run, f"query_id {q_type}, id {id_type}, similarity double")
         best = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
