@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from lexforge.llm import textkit as K
 from lexforge.session import materialize, shared_dir, ship_package
 
+#: Least number of buckets; a session with more shuffle partitions gets as many, or Spark would shuffle the history to them.
 BUCKETS = 16
 
 # Cyrillic and Greek capitals that look like Latin ones.
@@ -91,8 +92,8 @@ def folded_col(column: str):
 class SeenHashes:
     """A growing table (h, first): each hash with the first row that had it, bucketed by hash in the shared folder."""
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
+        self.spark, self.buckets = spark, buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.table = f"seen_{name}_{uuid.uuid4().hex}"
         self.path = f"{shared_dir(spark)}/{self.table}"
         self.empty = True

@@ -204,7 +204,7 @@ def bucket_pairs(least: int, block_size: int):
 def block_pairs(least: int):
     """Pairs of one (bucket, block, block) group of a large bucket."""
 
-    def run(key, t: pa.Table) -> pa.Table:
+    def run(key, t):
         side = t.column("side").to_numpy()
         sid = t.column("sid").to_numpy()
         sk = np.stack([t.column("s0").to_numpy(), t.column("s1").to_numpy()], 1).view(U64)
