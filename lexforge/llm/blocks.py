@@ -33,10 +33,11 @@ def bitmap_bits(n: int, per_item: int = 16, least: int = 1 << 16, most: int = 1
 
 
 def collect_bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Bits set at hash modulo ``bits``. The driver gets bits / 64 words at the most, or-ed together by the executors."""
-    slot = F.col(column).bitwiseAND(F.lit(bits - 1))
+    """Two bits set for each hash, by its low and by its high half. The driver gets bits / 64 words at the most, or-ed together by the executors."""
+    half = hashes.select(F.explode(F.array(F.col(column), F.shiftrightunsigned(column, 32))).alias("x"))
+    slot = F.col("x").bitwiseAND(F.lit(bits - 1))
     words = (
-        hashes.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b"))
+        half.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
         .toArrow()
@@ -47,8 +48,13 @@ def collect_bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
 
 
 def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = hashes.view(np.uint64) & np.uint64(len(bitmap) * 64 - 1)
-    return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+    x, mask = hashes.view(np.uint64), np.uint64(len(bitmap) * 64 - 1)
+    slot = x & mask
+    hit = (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+    at = np.flatnonzero(hit)  # few pass the first look
+    slot = (x[at] >> np.uint64(32)) & mask
+    hit[at] = (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+    return hit
 
 
 def keep_known(df: DataFrame, column: str, known: DataFrame, known_column: str, n: int) -> DataFrame:
