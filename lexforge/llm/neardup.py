@@ -308,8 +308,10 @@ def _long_classes(rows: DataFrame, repeated: DataFrame, min_words: int) -> DataF
             out[lo:hi] = np.bincount(K.words(t[lo:hi])[0], minlength=hi - lo) >= min_words
         return pd.Series(out)
 
-    one = rows.join(repeated, "sid", "left_semi").groupBy("sid").agg(F.first("text").alias("text"))
-    return one.where(long_enough("text")).select("sid")
+    # one text of each class leaves its task: a class of a third of all rows isn't shuffled
+    repeated = materialize(repeated, "near-repeated")
+    one = keep_known(rows, "sid", repeated, "sid", repeated.count()).groupBy("sid").agg(F.first("text").alias("text"))
+    return one.join(repeated, "sid", "left_semi").where(long_enough("text")).select("sid")
 
 
 def near_groups(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, min_words: int = 0) -> DataFrame:
