@@ -32,7 +32,8 @@ from lexforge.session import materialize, ship_package
 TOKENIZER = os.environ.get("LEXFORGE_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 # Fixed value: the pattern that splits text before the merges of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-RANGES = 256
+#: Hash ranges of a leaf, as a power of two: a task orders the documents of one of them.
+RANGE_BITS = 12
 #: Longest piece given to the tokenizer at once; it slows down on unbroken runs beyond.
 PIECE = 20_000
 
@@ -135,11 +136,11 @@ class Mixture:
         """(doc_id, source, lang, n_tokens, n_uses): how often each document of the mixture is used."""
         leaves = self.spark.createDataFrame([(x["source"], x["lang"], x["budget"] // x["tokens"], x["budget"] % x["tokens"]) for x in self.leaves], "source string, lang string, passes long, rest long")
         d = self.sized.join(F.broadcast(leaves), ["source", "lang"]).withColumn("spot", F.xxhash64("doc_id", F.lit(self.seed)))
-        d = d.withColumn("range", F.shiftrightunsigned("spot", 56).bitwiseXOR(F.lit(128)).cast("int"))
+        d = d.withColumn("range", F.shiftrightunsigned("spot", 64 - RANGE_BITS).bitwiseXOR(F.lit(1 << (RANGE_BITS - 1))).cast("int"))
         sums = d.groupBy("source", "lang", "range").agg(F.sum("n_tokens").alias("size"))
         before = F.coalesce(F.sum("size").over(Window.partitionBy("source", "lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         ranges = sums.select("source", "lang", "range", before.alias("before"), "size")
-        d = d.join(F.broadcast(ranges), ["source", "lang", "range"])  # at most RANGES rows a leaf
+        d = d.join(F.broadcast(ranges), ["source", "lang", "range"])  # at most 2**RANGE_BITS rows a leaf
         inside = d.where("before + size <= rest").withColumn("extra", F.lit(1))
         edge = d.where("before + size > rest and before < rest")
         upto = F.sum("n_tokens").over(Window.partitionBy("source", "lang").orderBy("spot", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
