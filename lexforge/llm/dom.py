@@ -56,7 +56,7 @@ _RULES = [
     ("md_quote", r"^[ ]{0,3}>[ \t]?"),
     ("path", r"(?<=[A-Za-z]):\\[^\s<>|]*"),
     ("tx_env", r"\\(?:begin|end)[ \t]*\{[A-Za-z*]+\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?"),
-    ("tx_display", r"\\\[[\s\S]*?\\\]"),
+    ("tx_display", r"\\\[(?:(?!\\\[)[\s\S])*?\\\]"),
     ("tx_inline", r"\\\([^\n]*?\\\)"),
     ("tx_dollar2", r"\$\$[^$]+\$\$"),
     ("tx_dollar", r"\$(?=[^\s$])[^$\n]*?[^\s$\\]\$(?!\d)"),
