@@ -245,7 +245,8 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5,
     c = df.where(F.col(id_col).isNotNull() & usable(vec_col, dim)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.xxhash64(vec_col).alias("vid"), (F.lit(True) if asks is None else asks).alias("asks"))
     edges = neighbor_edges(c.select("vid", "vec", "asks"), n, dim, k, least, probes, trees, leaf_rows)
     if asks is None:
-        edges = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"), "sim"))
+        both = F.array(F.struct("x", "y", "sim"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "sim"))
+        edges = edges.select(F.inline(both))  # a union would search every leaf twice
     edges = materialize(edges.groupBy("x", "y").agg(F.max("sim").alias("sim")), "neighbor-edges")
     members = c.select("id", "vid", "asks").distinct()
     w = Window.partitionBy("vid").orderBy("id")
