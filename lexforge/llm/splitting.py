@@ -34,7 +34,8 @@ def split_items(items: DataFrame, overlap: int = OVERLAP) -> DataFrame:
 
 def oversized_items(chunks: DataFrame, text_limit: int = TEXT_LIMIT, name_limit: int = NAME_LIMIT) -> DataFrame:
     """(id, item, limit_chars, text) of the texts and hierarchy values beyond their limits, found before any text leaves the JVM."""
-    c = chunks.select(F.col("chunk_id").alias("id"), F.col("original_text").alias("text"), F.col("metadata.hierarchy").alias("h")).where("id is not null")
-    texts = c.where(F.length("text") > text_limit).select("id", F.lit("original_text").alias("item"), F.lit(text_limit).alias("limit_chars"), "text")
-    names = c.select("id", F.explode("h").alias("item", "text")).where(F.length("text") > name_limit)
-    return texts.unionByName(names.select("id", "item", F.lit(name_limit).alias("limit_chars"), "text"))
+    # one scan: the text and the hierarchy values side by side, only the long ones kept
+    text = F.struct(F.lit("original_text").alias("item"), F.lit(text_limit).alias("limit_chars"), F.col("original_text").alias("text"))
+    names = F.transform(F.map_entries("metadata.hierarchy"), lambda e: F.struct(e["key"].alias("item"), F.lit(name_limit).alias("limit_chars"), e["value"].alias("text")))
+    items = F.filter(F.concat(F.array(text), F.coalesce(names, F.slice(F.array(text), 1, 0))), lambda x: F.length(x["text"]) > x["limit_chars"])
+    return chunks.where("chunk_id is not null").select(F.col("chunk_id").alias("id"), F.inline(items))
