@@ -126,6 +126,18 @@ def check_batch(seen: SeenHashes, keys: DataFrame) -> DataFrame:
     return to.select(F.col("to").alias("first_row_id"), "row_id")
 
 
+def by_batch(df: DataFrame, name: str):
+    """``df`` (batch, ...) in one folder for each batch, so that a batch is read on its own; gives the function that reads one."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows = df.withColumn("part", F.coalesce(F.col("batch").cast("string"), F.lit("none"))).drop("batch")
+    rows.write.partitionBy("part").parquet(path)
+
+    def read(b: int | None) -> DataFrame:
+        return spark.read.schema(rows.schema).parquet(path).where(F.col("part") == ("none" if b is None else str(b))).drop("part")
+
+    return read
+
+
 def batches_of(df: DataFrame, batch_col: str) -> list[int | None]:
     """Batch numbers in order; there are as many as loads, not as rows."""
     got = [r[0] for r in df.select(batch_col).distinct().toLocalIterator()]
@@ -137,12 +149,11 @@ def repeated_documents(df: DataFrame, row_col: str = "row_id", batch_col: str =
     spark = df.sparkSession
     ship_package(spark)
     base = df.select(F.col(row_col).alias("row_id"), F.col(batch_col).alias("batch"), F.col(item_col).alias("item"), F.col(number_col).alias("number")).where("row_id is not null")
+    hashed = base.select("batch", "row_id", F.explode(F.array(F.xxhash64(F.lit("item"), item_key_col("item")), F.xxhash64(F.lit("number"), number_key_col("number")))).alias("h"))
+    feed = by_batch(hashed.where(~F.col("h").isin(*_null_hashes(spark))).distinct(), "feed-keys")
     seen, out = SeenHashes(spark, "keys"), None
     for b in batches_of(base, "batch"):
-        part = base.where(F.col("batch").eqNullSafe(F.lit(b)))
-        part = part.select("row_id", F.explode(F.array(F.xxhash64(F.lit("item"), item_key_col("item")), F.xxhash64(F.lit("number"), number_key_col("number")))).alias("h"))
-        keys = materialize(part.where(~F.col("h").isin(*_null_hashes(spark))).distinct(), "batch-keys")
-        hits = check_batch(seen, keys)
+        hits = check_batch(seen, feed(b))
         out = hits if out is None else out.unionByName(hits)
     return spark.createDataFrame([], "first_row_id long, row_id long") if out is None else out
 
