@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,17 +19,27 @@ def header_sections(docs: DataFrame, id_col: str, md_col: str) -> DataFrame:
     A header ends all headers of its level and below; headers without text give nothing; neighbouring blocks under the same
     headers are one section. Windows run within one document.
     """
-    lines = f"""
-        SELECT id, pos, trim(line) AS line, length(regexp_extract(trim(line), '^(#|##|###|####|#####)(?: |$)', 1)) AS lvl
-        FROM (SELECT {id_col} AS id, posexplode(split({md_col}, '\\n')) AS (pos, line) FROM {{docs}})
-    """
+    line = LINE.replace("\\", "\\\\")  # Spark's string literals take a backslash as an escape
+    lines = f"SELECT id, pos, {line} AS line FROM (SELECT {id_col} AS id, posexplode(split({md_col}, '\\n')) AS (pos, line) FROM {{docs}})"
     text = "array_join(transform(array_sort(collect_list(struct(pos, line))), x -> x.line), '\n')"
-    return docs.sparkSession.sql(SECTIONS.format(lines=lines, agg=text), docs=docs)
+    view = f"docs_{uuid.uuid4().hex}"
+    docs.createOrReplaceTempView(view)
+    try:
+        return docs.sparkSession.sql(SECTIONS.format(lines=lines.replace("{docs}", view), agg=text))
+    finally:
+        docs.sparkSession.catalog.dropTempView(view)
 
 
-#: Shared by both engines: ``lines`` gives (id, pos, line, lvl), lvl 0 for text.
+#: A line without what isn't printed and without blanks at its ends; the same in both engines.
+LINE = r"trim(regexp_replace(line, '[\p{Cc}\p{Cf}\p{Zl}\p{Zp}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]', ''))"
+#: Shared by both engines: ``lines`` gives (id, pos, line). Within code fences no line is a header.
 SECTIONS = """
-    WITH l AS ({lines}),
+    WITH k AS ({lines}),
+    f AS (
+        SELECT id, pos, line, CASE WHEN substr(line, 1, 3) IN ('```', '~~~') THEN 1 ELSE 0 END AS fence,
+            length(regexp_extract(line, '^(#|##|###|####|#####)(?: |$)', 1)) AS header FROM k),
+    l AS (
+        SELECT id, pos, line, CASE WHEN coalesce(sum(fence) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 THEN 0 ELSE header END AS lvl FROM f),
     p AS (
         SELECT id, pos, line, lvl,
             max(CASE WHEN lvl = 1 THEN pos END) OVER w AS p1, max(CASE WHEN lvl = 2 THEN pos END) OVER w AS p2,

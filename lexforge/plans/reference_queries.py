@@ -389,8 +389,7 @@ def _chunk_markdown(spark, d):
 
 _MD = ("SELECT chunk_id AS id, concat_ws(chr(10), " + ", ".join(f"'{'#' * i} ' || metadata.hierarchy['{n}']" for i, n in enumerate(LEVELS, 1)) + ", original_text) AS md FROM final_contextual_chunks"
        " WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY written_at DESC NULLS LAST, original_text DESC NULLS LAST) = 1")
-_LINES = f"""SELECT id, pos, trim(line) AS line, length(regexp_extract(trim(line), '^(#|##|###|####|#####)(?: |$)', 1)) AS lvl FROM (
-    SELECT id, unnest(range(len(string_split(md, chr(10))))) AS pos, unnest(string_split(md, chr(10))) AS line FROM ({_MD}))"""
+_LINES = f"SELECT id, pos, {splitting.LINE.replace(", ''))", ", '', 'g'))")} AS line FROM (SELECT id, unnest(range(len(string_split(md, chr(10))))) AS pos, unnest(string_split(md, chr(10))) AS line FROM ({_MD}))"
 
 
 @query(splitting.SECTIONS.format(lines=_LINES, agg="string_agg(line, chr(10) ORDER BY pos)"))

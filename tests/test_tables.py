@@ -135,3 +135,55 @@ def test_chain_from_page_to_graph(spark):
     assert vec.count() == 5 and bad.isEmpty()
     with pytest.raises(ZeroDivisionError):
         pipeline.run([("bad", lambda r: 1 / 0), ("after", lambda r: r)])
+
+
+def test_sections_with_fences_and_headers(spark):
+    from lexforge.operators.splitting import header_sections
+
+    md = {"a": "# A\nt\n## B\nx\n# C\ny", "b": "intro\n##### D\n```\n# no header\n```\nz\n###### six", "c": "# only\n##", "d": "", "e": None, "f": "# A\n\nb​\n c "}
+    got = header_sections(spark.createDataFrame(list(md.items()), "k string, md string"), "k", "md").collect()
+    out = sorted((r.id, r.first_pos, r.content, *[r[f"level_{i}"] for i in (1, 2, 5)]) for r in got)
+    assert out == [
+        ("a", 1, "t", "A", None, None), ("a", 3, "x", "A", "B", None), ("a", 5, "y", "C", None, None), ("b", 0, "intro", None, None, None),
+        ("b", 2, "```\n# no header\n```\nz\n###### six", None, None, "D"), ("f", 2, "b\nc", "A", None, None),
+    ]
+
+
+def test_stores(spark, tmp_path):
+    from lexforge.sources import stores
+
+    items = spark.createDataFrame([("1", "<p>", '{"a":"ế"}'), ("2", "", "{}"), ("3", None, "{cut"), ("4", "x", None)], "item_id string, full_text_html string, diagram_json string")
+    assert rows(stores.pages_to_store(items), "item_id", "file_html") == [("1", "1.html"), ("4", "4.html")]
+    assert [(r.file_diagram, json.loads(r.diagram_json)) for r in stores.diagrams_to_store(items).collect()] == [("1.json", {"a": "ế"})]
+    stores.append_audit(spark.createDataFrame([("q", "a")], "question string, answer string"), str(tmp_path / "log"))
+    stores.append_audit(spark.createDataFrame([("r", "b")], "question string, answer string"), str(tmp_path / "log"))
+    assert rows(spark.read.parquet(str(tmp_path / "log")), "question") == [("q",), ("r",)]
+
+
+def test_responses_are_fetched_once(spark, tmp_path):
+    from lexforge.sources import stores
+
+    def fetch(url):
+        if url == "bad":
+            raise ValueError("no such host")
+        return (503, "later") if url == "busy" else (200, "body of " + url)
+
+    cache = stores.UpsertTable(spark, str(tmp_path), "url", "url string, status int, body string")
+    req = spark.createDataFrame([("a",), ("a",), ("bad",), ("busy",), (None,)], "url string")
+    assert rows(stores.fetch_missing(req, cache, fetch), "url", "status") == [("a", 200), ("bad", 0), ("busy", 503)]
+    assert rows(cache.read(), "url") == [("a",)]
+    again = stores.fetch_missing(req, cache, lambda u: (200, "second"))
+    assert rows(again, "url", "body") == [("a", "body of a"), ("bad", "second"), ("busy", "second")]
+
+
+def test_rescue_stops_when_nothing_is_left(spark):
+    from lexforge.sources import stores
+
+    seen = []
+
+    def attempt(open_, r):
+        seen.append(r)
+        return open_.where(F.col("id") % 3 == r)
+
+    done, left = stores.rescue(spark.createDataFrame([(1,), (2,), (4,)], "id int"), attempt, "id")
+    assert rows(done, "id") == [(1,), (2,), (4,)] and left.isEmpty() and seen == [1, 2]
