@@ -236,7 +236,7 @@ def neighbor_edges(rows: DataFrame, n_rows: int, dim: int, k: int, least: float,
     return placed.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(leaf_edges(dim, k, least), "x long, y long, sim double")
 
 
-def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5, least: float = 0.0, probes: int = 3, asks=None, trees: int = TREES, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5, least: float = 0.0, probes: int = 5, asks=None, trees: int = TREES, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(id, neighbor, rank, cosine): the k most similar other ids of every id for which ``asks`` holds (all without it), of cosine ``least`` or more.
 
     With all rows asking, an edge found from either end counts for both.
@@ -260,7 +260,7 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5,
     return cand.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "neighbor", "rank", "cosine")
 
 
-def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5, least: float = 0.9, probes: int = 3) -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5, least: float = 0.9, probes: int = 5) -> DataFrame:
     """Pairs (id_a, id_b) of cosine ``least`` or more of which one is among the k most similar ids of the other."""
     near = nearest(df, id_col, vec_col, dim, k, least, probes)
     return near.select(F.least("id", "neighbor").alias("id_a"), F.greatest("id", "neighbor").alias("id_b")).distinct()
