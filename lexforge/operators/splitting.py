@@ -25,7 +25,7 @@ def header_sections(docs: DataFrame, id_col: str, md_col: str) -> DataFrame:
     view = f"docs_{uuid.uuid4().hex}"
     docs.createOrReplaceTempView(view)
     try:
-        return docs.sparkSession.sql(SECTIONS.format(lines=lines.replace("{docs}", view), agg=text))
+        return docs.sparkSession.sql(SECTIONS.format(lines=lines.replace("{docs}", view), agg=text, titles=titles("last_value({}) IGNORE NULLS")))
     finally:
         docs.sparkSession.catalog.dropTempView(view)
 
@@ -41,27 +41,30 @@ SECTIONS = """
     l AS (
         SELECT id, pos, line, CASE WHEN coalesce(sum(fence) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 THEN 0 ELSE header END AS lvl FROM f),
     p AS (
-        SELECT id, pos, line, lvl,
+        SELECT id, pos, line, lvl, {titles},
             max(CASE WHEN lvl = 1 THEN pos END) OVER w AS p1, max(CASE WHEN lvl = 2 THEN pos END) OVER w AS p2,
             max(CASE WHEN lvl = 3 THEN pos END) OVER w AS p3, max(CASE WHEN lvl = 4 THEN pos END) OVER w AS p4,
             max(CASE WHEN lvl = 5 THEN pos END) OVER w AS p5
         FROM l WINDOW w AS (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     live AS (
-        SELECT id, pos, line, coalesce(p1, -1) AS h1,
+        SELECT id, pos, line, t1, t2, t3, t4, t5, coalesce(p1, -1) AS h1,
             CASE WHEN p2 > coalesce(p1, -1) THEN p2 ELSE -1 END AS h2,
             CASE WHEN p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN p3 ELSE -1 END AS h3,
             CASE WHEN p4 > greatest(coalesce(p1, -1), coalesce(p2, -1), coalesce(p3, -1)) THEN p4 ELSE -1 END AS h4,
             CASE WHEN p5 > greatest(coalesce(p1, -1), coalesce(p2, -1), coalesce(p3, -1), coalesce(p4, -1)) THEN p5 ELSE -1 END AS h5
-        FROM p WHERE lvl = 0 AND line <> ''),
-    s AS (SELECT id, h1, h2, h3, h4, h5, min(pos) AS first_pos, {agg} AS content FROM live GROUP BY id, h1, h2, h3, h4, h5),
-    t AS (SELECT id, pos, trim(substr(line, lvl + 1)) AS title FROM l WHERE lvl > 0)
-    SELECT s.id, s.first_pos, a.title AS level_1, b.title AS level_2, c.title AS level_3, d.title AS level_4, e.title AS level_5, s.content
-    FROM s LEFT JOIN t a ON a.id = s.id AND a.pos = s.h1 LEFT JOIN t b ON b.id = s.id AND b.pos = s.h2
-        LEFT JOIN t c ON c.id = s.id AND c.pos = s.h3 LEFT JOIN t d ON d.id = s.id AND d.pos = s.h4
-        LEFT JOIN t e ON e.id = s.id AND e.pos = s.h5
+        FROM p WHERE lvl = 0 AND line <> '')
+    SELECT id, min(pos) AS first_pos, max(CASE WHEN h1 >= 0 THEN t1 END) AS level_1, max(CASE WHEN h2 >= 0 THEN t2 END) AS level_2,
+        max(CASE WHEN h3 >= 0 THEN t3 END) AS level_3, max(CASE WHEN h4 >= 0 THEN t4 END) AS level_4, max(CASE WHEN h5 >= 0 THEN t5 END) AS level_5,
+        {agg} AS content
+    FROM live GROUP BY id, h1, h2, h3, h4, h5
 """
 
 
+def titles(form: str) -> str:
+    """The last header text of each level; ``form`` is how an engine spells it."""
+    return ", ".join(form.format(f"CASE WHEN lvl = {k} THEN trim(substr(line, {k + 1})) END") + f" OVER w AS t{k}" for k in range(1, 6))
+
+
 def _split_on(text: str, separator: str) -> list[str]:
     """Parts of the text; each but the first begins with the separator."""
     if not separator:

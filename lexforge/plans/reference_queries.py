@@ -392,7 +392,7 @@ _MD = ("SELECT chunk_id AS id, concat_ws(chr(10), " + ", ".join(f"'{'#' * i} ' |
 _LINES = f"SELECT id, pos, {splitting.LINE.replace(", ''))", ", '', 'g'))")} AS line FROM (SELECT id, unnest(range(len(string_split(md, chr(10))))) AS pos, unnest(string_split(md, chr(10))) AS line FROM ({_MD}))"
 
 
-@query(splitting.SECTIONS.format(lines=_LINES, agg="string_agg(line, chr(10) ORDER BY pos)"))
+@query(splitting.SECTIONS.format(lines=_LINES, agg="string_agg(line, chr(10) ORDER BY pos)", titles=splitting.titles("last_value({} IGNORE NULLS)")))
 def header_sections(spark: SparkSession, d: str) -> DataFrame:
     return splitting.header_sections(_chunk_markdown(spark, d), "chunk_id", "md").withColumn("first_pos", F.col("first_pos").cast("long"))
 
