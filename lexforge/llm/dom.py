@@ -123,6 +123,9 @@ class Tree:
 
 
 def parse(text: str) -> Tree:
+    """The nodes of a text; its line ends become line feeds."""
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
     t = Tree(text)
     _scan(t, text, 0, len(text), -1, [])
     return t

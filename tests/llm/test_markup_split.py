@@ -17,6 +17,7 @@ def kinds(text):
     ("== Phạm vi ==\nx", {"wiki"}), ("'''Mức thu''' từ", {"wiki"}), ("ở [[Điều 5|đây]] và", {"wiki"}), ("x {{ghi chú|số=1}}", {"wiki"}), ('{| class="bang"\n|-\n| A || 1\n|}', {"wiki"}),
     ("tốc $v \\le 5$ km", {"latex"}), ("\\[ S = \\frac{v^2}{2} \\]", {"latex"}), ("\\textbf{Mức} thu", {"latex"}), ("x\\footnote{y}", {"latex"}), ("\\begin{itemize}\n\\item a\n\\end{itemize}", {"latex"}),
     ("1. Một\n2. Hai\na) b\nđ) c", set()), ("- một\n- hai", set()), ("a <= 12 m, b >= 3 m", set()), ("< 9 tấn và > 9,9 tấn", set()), ("nhà #74 ngõ 3", set()), ("R&D và A & B", set()), ("chi $5 và 7 đồng", set()), ("C:\\ho_so\\nam_2020 đã", set()), ("mã TL_8_9", set()), ("90 * 3 = 270", set()), ("ghi chú [9] cuối", set()), ("Ký hiệu {A9}", set()), ("sai ~9%", set()), ("", set()), (None, set()),
+    ("a\r\n== Phạm vi ==\r\n| a | b |\r\n|---|---|\r\n| c | d |\r\n", {"wiki", "markdown"}), ("a\r---\rb", {"markdown"}),
     ("<script>var p = $('#n').val(); **x** == y == </script>", {"html"}), ("<b>a</b> và **b** và [[c]] và $x_1$", {"html", "markdown", "wiki", "latex"}),
 ])
 def test_kinds(text, want):
