@@ -173,13 +173,16 @@ def paragraphs_seen(df: DataFrame, row_col: str, batch_col: str, text_col: str,
     spark = df.sparkSession
     ship_package(spark)
     base = df.select(F.col(row_col).alias("row_id"), F.col(batch_col).alias("batch"), F.col(text_col).alias("text")).where("row_id is not null")
+    once = base.groupBy("batch", "row_id").agg(F.max("text").alias("text"))  # repeated rows count once
+    some = (F.length(F.trim("text")) > 0).alias("some")
+    contents = by_batch(once.select("batch", "row_id", F.xxhash64(folded_col("text")).alias("h"), some), "feed-contents")
+    cut = base.select("batch", "row_id", F.explode(F.split("text", splitter)).alias("p")).withColumn("p", folded_col("p"))
+    cut = cut.where(F.length("p") - F.length(F.replace("p", F.lit(" "))) > 4).select("batch", "row_id", F.xxhash64("p").alias("h")).distinct()
+    paragraphs = by_batch(cut, "feed-paragraphs")
     whole, parts, out = SeenHashes(spark, "contents"), SeenHashes(spark, "paragraphs"), None
     for b in batches_of(base, "batch"):
-        part = base.where(F.col("batch").eqNullSafe(F.lit(b))).dropDuplicates(["row_id"])
-        text = materialize(part.select("row_id", F.xxhash64(folded_col("text")).alias("h"), (F.length(F.trim("text")) > 0).alias("some"), F.split("text", splitter).alias("p")), "batch-contents")
+        text, para = contents(b), paragraphs(b)
         copies = check_batch(whole, text.where("some").select("row_id", "h"))
-        para = text.select("row_id", F.explode("p").alias("p")).withColumn("p", folded_col("p"))
-        para = materialize(para.where(F.length("p") - F.length(F.replace("p", F.lit(" "))) > 4).select("row_id", F.xxhash64("p").alias("h")).distinct(), "batch-paragraphs")
         first = para.groupBy("h").agg(F.min("row_id").alias("first"))
         known = materialize(first.join(parts.known().select("h", F.lit(1).alias("seen")), "h", "left"), "batch-known")
         cover = para.join(known.select("h", "seen"), "h").groupBy("row_id").agg(F.count("*").alias("n_paragraphs"), F.count("seen").alias("n_shared"))
