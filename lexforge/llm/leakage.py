@@ -78,7 +78,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
     spark = docs.sparkSession
     ship_package(spark)
     schema = "doc_id long, eval_id long, n_runs long, char_start long, char_end long"
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * n - 1))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= n))
     out = None
     for blob in _item_blocks(items, item_id, item_text, n):
         held = spark.sparkContext.broadcast(blob)

@@ -262,7 +262,7 @@ def verify_pairs(n: int, threshold: float, min_words: int):
 def near_links(texts: DataFrame, n: int = 5, threshold: float = 0.8, min_words: int = 0, block_size: int = BUCKET_BLOCK) -> DataFrame:
     """Links (sid_a, sid_b, similarity) between different texts of ``texts`` (sid, text) whose shingle similarity reaches the threshold (0.6 at least)."""
     ship_package(texts.sparkSession)
-    long_enough = texts.where(F.col("text").isNotNull() & (F.length("text") >= 2 * min_words))
+    long_enough = texts.where(F.col("text").isNotNull() & (F.length("text") >= 2 * min_words - 1))
     bands = long_enough.mapInArrow(band_rows(n, min_words), "bucket long, sid long, s0 long, s1 long")
     found = materialize(
         bands.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(bucket_pairs(SKETCH_LEAST, block_size), "kind int, x long, y long, s0 long, s1 long"),

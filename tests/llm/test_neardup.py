@@ -67,6 +67,12 @@ def test_edge_cases(spark):
     assert got["a"] == ("a", 1, 0) and got["b"] == ("a", 1, 0) and got["f"][2] == 1 and got["c"][1:] == (0, 0) and None not in got
 
 
+def test_shortest_texts_that_count(spark):
+    short = " ".join("abcdefghij"[i % 10] for i in range(60))
+    df = spark.createDataFrame([("a", short), ("b", short + "."), ("c", short[:-2])], "id string, text string")
+    assert pairs(N.near_pairs(df, "id", "text", 3, 0.6, 60)) == {("a", "b")}
+
+
 def test_large_buckets_are_compared_in_blocks(spark):
     base = [f"w{i}" for i in range(100)]
     rows = [(f"{i:03d}", " ".join(base + [f"x{i}"])) for i in range(40)]
