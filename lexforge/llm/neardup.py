@@ -6,7 +6,7 @@ earliest dart of each coordinate is kept. Work is in proportion to elements + k
 two sets keep the same dart equals their (weighted) Jaccard similarity.
 
 Defined cases: null and empty texts and texts below ``min_words`` have no links; repeated rows of an id count once; equal
-texts form one class (see blocks.expand_classes); extra columns are ignored; an empty table gives no rows.
+texts form one class (see blocks.expand_classes) and linked classes one group (near_groups); extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -314,18 +314,50 @@ def _long_classes(rows: DataFrame, repeated: DataFrame, min_words: int) -> DataF
     return one.join(repeated, "sid", "left_semi").where(long_enough("text")).select("sid")
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(sid, root) of every sid in ``links`` (sid_a, sid_b): root is the smallest sid that can be reached from it.
+
+    Large and small stars in turn: each vertex hands its larger, then its smaller neighbours on to the smallest one, until
+    only stars are left. The rounds grow with the logarithm of the vertices; no component is gathered in one task.
+    """
+
+    def star(edges: DataFrame, out) -> DataFrame:
+        low = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        return materialize(edges.join(low, "u").select(F.inline(out)).where("u <> v").distinct(), "near-stars")
+
+    def edge(u: str, v: str):
+        return F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+
+    edges = materialize(links.select(F.greatest("sid_a", "sid_b").alias("u"), F.least("sid_a", "sid_b").alias("v")).where("u <> v").distinct(), "near-stars")
+    while True:
+        # a star: no vertex has two edges down, and none that is pointed to points on
+        deep = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
+        if edges.groupBy("u").count().where("count > 1").select("u").unionByName(deep).isEmpty():
+            break
+        both = edges.select(F.inline(F.array(edge("u", "v"), edge("v", "u"))))
+        edges = star(both, F.when(F.col("v") > F.col("u"), F.array(edge("v", "m"))))
+        edges = star(edges, F.array(edge("u", "m"), edge("v", "m")))
+    roots = edges.select(F.col("v").alias("sid"), F.col("v").alias("root")).distinct()
+    return edges.select(F.col("u").alias("sid"), F.col("v").alias("root")).unionByName(roots)
+
+
 def near_groups(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, min_words: int = 0) -> DataFrame:
-    """One row for each id: its class of equal texts, the number of other ids with equal text, and the number of links of its text to other texts."""
+    """One row for each id: its group, its class of equal texts, the number of other ids with equal text, and the number of links of its text to other texts.
+
+    A group (class_id, its smallest id) holds all ids whose texts are joined by a chain of links; copy_id is the smallest id of equal text.
+    """
     rows = keyed(df, id_col, text_col).where("id is not null")
     links = materialize(near_links(rows.select("sid", "text"), n, threshold, min_words), "near-links")
     degree = links.select(F.explode(F.array("sid_a", "sid_b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
     ids = rows.select("id", F.when(F.col("text").isNotNull(), F.col("sid")).alias("sid")).distinct()
-    cls = ids.groupBy("sid").agg(F.min("id").alias("class_id"), (F.count("*") - 1).alias("n_copies"))
+    cls = materialize(ids.groupBy("sid").agg(F.min("id").alias("copy_id"), (F.count("*") - 1).alias("n_copies")), "near-classes")
+    comp = materialize(components(links), "near-components")
+    least = comp.join(cls, "sid").groupBy("root").agg(F.min("copy_id").alias("class_id"))
+    linked = comp.join(least, "root").join(degree, "sid").select("sid", "class_id", "n_links")
     return (
-        ids.join(cls, "sid", "left")
-        .join(degree, "sid", "left")
+        ids.join(cls.join(linked, "sid", "left"), "sid", "left")
         .select(
-            F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"),
+            F.col("id").alias(id_col), F.coalesce("class_id", "copy_id", "id").alias("class_id"), F.coalesce("copy_id", "id").alias("copy_id"),
             F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         )
     )

@@ -67,6 +67,30 @@ def test_edge_cases(spark):
     assert got["a"] == ("a", 1, 0) and got["b"] == ("a", 1, 0) and got["f"][2] == 1 and got["c"][1:] == (0, 0) and None not in got
 
 
+def test_edited_texts_form_groups(spark):
+    base = [f"w{i}" for i in range(100)]
+    chain = [" ".join(base[: 100 - 8 * k] + [f"x{i}" for i in range(8 * k)]) for k in range(5)]  # the first and the last are far apart
+    rows = [("c4", chain[0]), ("c2", chain[1]), ("c0", chain[2]), ("c3", chain[3]), ("c1", chain[4]), ("c9", chain[3]), ("z", " ".join(f"y{i}" for i in range(100))), ("n", None), ("m", None)]
+    df = spark.createDataFrame(rows, "id string, text string")
+    got = {r.id: (r.class_id, r.copy_id) for r in N.near_groups(df, "id", "text", 3, 0.8).collect()}
+    assert ("c1", "c4") not in pairs(N.near_pairs(df, "id", "text", 3, 0.8))
+    assert got == {k: ("c0", "c3" if k == "c9" else k) for k in ("c0", "c1", "c2", "c3", "c4", "c9")} | {k: (k, k) for k in ("z", "n", "m")}
+
+
+def test_components_against_union_find(spark):
+    r = random.Random(7)
+    edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 20)] + [(200 + r.randrange(30), 200 + r.randrange(30)) for _ in range(20)]
+    name = list(range(300))
+    r.shuffle(name)
+    edges = [(name[a], name[b]) for a, b in edges if a != b]
+    want = {x: x for e in edges for x in e}
+    for _ in want:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    got = N.components(spark.createDataFrame(edges, "sid_a long, sid_b long")).collect()
+    assert len(got) == len(want) and {g.sid: g.root for g in got} == want
+
+
 def test_shortest_texts_that_count(spark):
     short = " ".join("abcdefghij"[i % 10] for i in range(60))
     df = spark.createDataFrame([("a", short), ("b", short + "."), ("c", short[:-2])], "id string, text string")
