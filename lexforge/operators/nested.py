@@ -67,7 +67,8 @@ class Containers:
 
     ``row`` is the text each belongs to, ``parent`` the index of the container around it (-1: none), ``is_object`` its kind and
     ``key`` the key under which an object holds it. Members are the key-value pairs of objects: ``holder`` is the container, and
-    ``value`` a scalar's text (null for containers), ``quoted`` whether it was a string.
+    ``value`` a scalar's text (null for containers), ``quoted`` whether it was a string. Items are the scalars of arrays: ``list_of``
+    is the array, ``position`` the place in it. ``place`` is the position of a container that is itself an item (-1: it isn't).
     """
 
     row: np.ndarray
@@ -78,6 +79,11 @@ class Containers:
     name: pa.Array
     value: pa.Array
     quoted: np.ndarray
+    place: np.ndarray
+    list_of: np.ndarray
+    position: np.ndarray
+    item: pa.Array
+    item_quoted: np.ndarray
 
 
 def _strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
@@ -241,6 +247,7 @@ def parse(texts: pa.Array) -> Containers:
     """Containers of all texts of a batch, strings that spell JSON included."""
     rows_of = np.arange(len(texts))  # the original row of each text of this round
     outer = np.full(len(texts), -1)  # the container that holds it
+    spots = np.full(len(texts), -1)  # its position there, if that is a list
     names = pa.nulls(len(texts), pa.string())
     out, base = [], 0
     for _ in range(MAX_ROUNDS):
@@ -263,7 +270,21 @@ def parse(texts: pa.Array) -> Containers:
         where = np.full(len(val_tok), -1)
         where[s], where[c] = np.arange(len(s)), len(s) + np.arange(len(c))
         text = pa.concat_arrays([strings, scalars]).take(pa.array(where, mask=where < 0))
-        out.append((rows_of[o_row[use]], up[use], obj[use], keys.filter(pa.array(use)), holder, k_text.cast(pa.string()), text, is_str))
+        # items of lists: their positions, and the scalars among them
+        val = np.flatnonzero(np.isin(kind, _VALUE_START) & valid[t_row] & (around >= 0) & ~np.append(obj, False)[around])
+        position = np.full(len(tok), -1)
+        position[val] = _numbers_in_row(around[val])
+        place = np.where(parent >= 0, position[opens], spots[o_row] if len(spots) else -1)
+        li = val[(kind[val] == STRING) | (kind[val] == SCALAR)]
+        i_str = kind[li] == STRING
+        s, c = np.flatnonzero(i_str), np.flatnonzero(~i_str)
+        strings = _unescape(_strings(buf, tok[li[s]] + 1, close_of[tok[li[s]]])).cast(pa.string())
+        scalars = _strings(buf, tok[li[c]], end_of[tok[li[c]]]).cast(pa.string())
+        where = np.empty(len(li), np.int64)
+        where[s], where[c] = np.arange(len(s)), len(s) + np.arange(len(c))
+        items = pa.concat_arrays([strings, scalars]).take(pa.array(where))
+        list_of = shift[around[li]] if len(shift) else np.zeros(0, np.int64)
+        out.append((rows_of[o_row[use]], up[use], obj[use], keys.filter(pa.array(use)), holder, k_text.cast(pa.string()), text, is_str, place[use], list_of, position[li], items, i_str))
         # strings that may spell JSON: values and list items
         all_str = np.flatnonzero((kind == STRING) & valid[t_row])
         is_key = np.zeros(len(tok), dtype=bool)
@@ -283,10 +304,11 @@ def parse(texts: pa.Array) -> Containers:
         held = around[all_str]
         top = np.where(held >= 0, shift[np.maximum(held, 0)] if len(shift) else -1, outer[t_row[all_str]])
         keys2 = pa.concat_arrays([k_text.cast(pa.string()), names]).take(pa.array(np.where(ki >= 0, ki, len(k_text) + t_row[all_str]), mask=(ki < 0) & (held >= 0)))
+        spots = np.where(held >= 0, position[all_str], spots[t_row[all_str]])
         texts, rows_of, outer, names = inner, rows_of[t_row[all_str]], top, keys2
     cat = lambda i: np.concatenate([x[i] for x in out])
     arr = lambda i: pa.concat_arrays([x[i] for x in out])
-    return Containers(cat(0), cat(1).astype(np.int64), cat(2), arr(3), cat(4).astype(np.int64), arr(5), arr(6), cat(7))
+    return Containers(cat(0), cat(1).astype(np.int64), cat(2), arr(3), cat(4).astype(np.int64), arr(5), arr(6), cat(7), cat(8).astype(np.int64), cat(9).astype(np.int64), cat(10), arr(11), cat(12))
 
 
 def nearest_with(c: Containers, own: np.ndarray) -> np.ndarray:
@@ -346,8 +368,23 @@ def _node_ids(c: Containers, id_key: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, own
 
 
-def flat_objects(key_col: str, fields: list[str], id_key: str = "nodeId"):
-    """mapInArrow function: one row for each object with an id, with its entity and the nearest such object around it."""
+def _item_paths(c: Containers) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """Of each item: the key of its list, the nearest object around it (-1: none), and its positions in the lists between, outermost first."""
+    at, levels = c.list_of.copy(), [c.position]
+    while True:  # lists within lists, up to the one that an object holds
+        up = c.parent[at] if len(at) else at
+        go = (up >= 0) & ~c.is_object[np.maximum(up, 0)] if len(at) else np.zeros(0, dtype=bool)
+        if not go.any():
+            break
+        levels.append(np.where(go, c.place[at], -1))
+        at = np.where(go, up, at)
+    path = np.stack(levels[::-1], 1)
+    offsets = np.concatenate(([0], np.cumsum((path >= 0).sum(1)))).astype(np.int32)
+    return c.key.take(pa.array(at)), up, pa.ListArray.from_arrays(pa.array(offsets), pa.array(path[path >= 0].astype(np.int64)))
+
+
+def flat_objects(key_col: str, fields: list[str], id_key: str = "nodeId", every: bool = False):
+    """mapInArrow function: one row for each object with an id (with ``every``, for each object), with its entity, the nearest object and the nearest object with an id around it."""
 
     def run(batches):
         for rb in batches:
@@ -357,20 +394,19 @@ def flat_objects(key_col: str, fields: list[str], id_key: str = "nodeId"):
                 for lo, hi in byte_batches(texts):
                     c = parse(texts.slice(lo, hi - lo))
                     ids, own = _node_ids(c, id_key)
-                    up, ordinal = nearest_with(c, own), _numbers_in_row(c.row)
-                    i = np.flatnonzero(own)
-                    u, has = up[i], up[i] >= 0
-                    pick = lambda x: pa.array(x[np.maximum(u, 0)] if len(x) else np.zeros(0, np.int64), mask=~has)
+                    up, ordinal, around = nearest_with(c, own), _numbers_in_row(c.row), nearest_with(c, c.is_object)
+                    i = np.flatnonzero(c.is_object if every else own)
+                    pick = lambda x, u: pa.array(x[np.maximum(u[i], 0)] if len(x) else np.zeros(0, np.int64), mask=u[i] < 0)
                     yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array(lo + c.row[i])), pa.array([f] * len(i), pa.string()), pa.array(ordinal[i]), pick(ordinal), pa.array(ids[i]), pick(ids), _entities(c).take(pa.array(i))],
-                        names=[key_col, "field", "object_no", "parent_no", "node", "parent_node", "entity"],
+                        [keys.take(pa.array(lo + c.row[i])), pa.array([f] * len(i), pa.string()), pa.array(ordinal[i]), pick(ordinal, around), pick(ordinal, up), pa.array(ids[i], mask=~own[i]), pick(ids, up), _entities(c).take(pa.array(i))],
+                        names=[key_col, "field", "object_no", "holder_no", "parent_no", "node", "parent_node", "entity"],
                     )
 
     return run
 
 
 def flat_members(key_col: str, fields: list[str], id_key: str = "nodeId"):
-    """mapInArrow function: one row for each scalar member, with the object that holds it (the nearest with an id)."""
+    """mapInArrow function: one row for each scalar member and each scalar item of a list, with the object that holds it and the nearest with an id."""
 
     def run(batches):
         for rb in batches:
@@ -382,31 +418,44 @@ def flat_members(key_col: str, fields: list[str], id_key: str = "nodeId"):
                     _, own = _node_ids(c, id_key)
                     up, ordinal = nearest_with(c, own), _numbers_in_row(c.row)
                     i = np.flatnonzero(~c.value.is_null().to_numpy(zero_copy_only=False))
-                    h = c.holder[i]
-                    if not len(h):
+                    n = len(i) + len(c.list_of)
+                    if not n:
                         continue
-                    at = np.where(own[h], h, up[h])
+                    name, held, path = _item_paths(c)
+                    h = np.concatenate([c.holder[i], held])
+                    at = np.where(h >= 0, np.where(own[h], h, up[h]), -1)
+                    row = c.row[np.concatenate([c.holder[i], c.list_of])]
                     yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array(lo + c.row[h])), pa.array([f] * len(i), pa.string()), pa.array(ordinal[np.maximum(at, 0)], mask=at < 0), pa.array(ordinal[h]), c.name.take(pa.array(i)), c.value.take(pa.array(i)), pa.array(c.quoted[i])],
-                        names=[key_col, "field", "object_no", "holder_no", "name", "value", "quoted"],
-                    )
+                        [
+                            keys.take(pa.array(lo + row)), pa.array([f] * n, pa.string()), pa.array(ordinal[np.maximum(at, 0)], mask=at < 0), pa.array(ordinal[np.maximum(h, 0)], mask=h < 0),
+                            pa.concat_arrays([c.name.take(pa.array(i)), name]), pa.concat_arrays([pa.nulls(len(i), path.type), path]),
+                            pa.concat_arrays([c.value.take(pa.array(i)), c.item]), pa.array(np.concatenate([c.quoted[i], c.item_quoted])),
+                        ],
+                        names=[key_col, "field", "object_no", "holder_no", "name", "item_path", "value", "quoted"],
+                    )
 
     return run
 
 
-def objects_of(df, key_col: str, fields: list[str], id_key: str = "nodeId"):
-    """Flat table (key, field, object_no, parent_no, node, parent_node, entity) of the objects in JSON columns of ``df``."""
+def objects_of(df, key_col: str, fields: list[str], id_key: str = "nodeId", every: bool = False):
+    """Flat table (key, field, object_no, holder_no, parent_no, node, parent_node, entity) of the objects in JSON columns of ``df``.
+
+    holder_no is the nearest object around it, parent_no the nearest with an id. Objects without an id come out with ``every`` only, with node null.
+    """
     from lexforge.session import ship_package
 
     ship_package(df.sparkSession)
     kind = df.schema[key_col].dataType.simpleString()
-    return df.select(key_col, *fields).mapInArrow(flat_objects(key_col, fields, id_key), f"{key_col} {kind}, field string, object_no long, parent_no long, node long, parent_node long, entity string")
+    return df.select(key_col, *fields).mapInArrow(flat_objects(key_col, fields, id_key, every), f"{key_col} {kind}, field string, object_no long, holder_no long, parent_no long, node long, parent_node long, entity string")
 
 
 def members_of(df, key_col: str, fields: list[str], id_key: str = "nodeId"):
-    """Flat table (key, field, object_no, holder_no, name, value, quoted) of the scalar members in JSON columns of ``df``."""
+    """Flat table (key, field, object_no, holder_no, name, item_path, value, quoted) of the scalars in JSON columns of ``df``.
+
+    Items of lists have the key of the list as their name and their positions, from 0, in item_path (one for each list within the holder); members have none.
+    """
     from lexforge.session import ship_package
 
     ship_package(df.sparkSession)
     kind = df.schema[key_col].dataType.simpleString()
-    return df.select(key_col, *fields).mapInArrow(flat_members(key_col, fields, id_key), f"{key_col} {kind}, field string, object_no long, holder_no long, name string, value string, quoted boolean")
+    return df.select(key_col, *fields).mapInArrow(flat_members(key_col, fields, id_key), f"{key_col} {kind}, field string, object_no long, holder_no long, name string, item_path array<bigint>, value string, quoted boolean")

@@ -12,25 +12,25 @@ FIELDS = ["metadata_api", "diagram_json"]
 
 
 def p5_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every object with a nodeId: what it is, and the object that holds it."""
-    return nested.objects_of(table(spark, sf_dir, "metadata"), "row_id", FIELDS)
+    """Every object, with its nodeId if it has one: what it is, and the objects that hold it."""
+    return nested.objects_of(table(spark, sf_dir, "metadata"), "row_id", FIELDS, every=True)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = p5_objects(spark, sf_dir).where("parent_node is not null and row_id is not null")
+    rows = nested.objects_of(table(spark, sf_dir, "metadata"), "row_id", FIELDS).where("parent_node is not null and row_id is not null")
     return rows.select("row_id", "field", "parent_node", F.col("node").alias("child_node")).distinct()
 
 
 def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every scalar member with the object it belongs to."""
+    """Every scalar, member of an object or item of a list, with the object it belongs to."""
     return nested.members_of(table(spark, sf_dir, "metadata"), "row_id", FIELDS)
 
 
 def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects by what they are and what holds them."""
     o = p5_objects(spark, sf_dir)
-    held = o.select("row_id", "field", F.col("object_no").alias("parent_no"), F.col("entity").alias("parent_entity"))
-    return o.join(held, ["row_id", "field", "parent_no"], "left").groupBy("field", "entity", "parent_entity").agg(F.count("*").alias("n_objects"), F.countDistinct("row_id").alias("n_rows"))
+    held = o.select("row_id", "field", F.col("object_no").alias("holder_no"), F.col("entity").alias("parent_entity"))
+    return o.join(held, ["row_id", "field", "holder_no"], "left").groupBy("field", "entity", "parent_entity").agg(F.count("*").alias("n_objects"), F.countDistinct("row_id").alias("n_rows"))
 
 
 QUERIES = {"p5_found": p5_found, "p5_objects": p5_objects, "p5_members": p5_members, "p5_entities": p5_entities}

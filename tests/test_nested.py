@@ -101,3 +101,45 @@ def test_batches_cover_all_rows():
     got = list(nested.byte_batches(a, 1000))
     assert [i for lo, hi in got for i in range(lo, hi)] == list(range(5))
     assert np.all([hi > lo for lo, hi in got])
+
+
+def scalars(texts):
+    """(row, name, path, value) of all scalars by a plain walk."""
+    out = []
+
+    def say(v):
+        return v if isinstance(v, str) else json.dumps(v)
+
+    def walk(v, row, name, path):
+        if not isinstance(v, (dict, list)):
+            if name != "" or path:
+                out.append((row, name or None, path or None, say(v)))
+            v = _spelled(v)
+        if isinstance(v, dict):
+            for k, x in v.items():
+                walk(x, row, k, ())
+        elif isinstance(v, list):
+            for i, x in enumerate(v):
+                walk(x, row, name, path + (i,))
+
+    for i, t in enumerate(texts):
+        walk(json.loads(t), i, "", ())
+    return sorted(out, key=repr)
+
+
+LISTS = [
+    '{"nodeId":1,"tags":["x","y\\n"],"n":{"deep":[[1,2],[],[3,[true,null]]],"k":"v"}}', '["a",{"b":[1]},"[5,\\"q\\"]"]', '{"s":"[\\"p\\",{\\"t\\":[7]}]"}', "[[]]", '"[1, \\"[2]\\"]"', '{"a":[{"b":1},2]}',
+]
+
+
+def test_items_of_lists_are_members(spark):
+    df = spark.createDataFrame(list(enumerate(LISTS)), "row_id long, a string")
+    got = nested.members_of(df, "row_id", ["a"]).collect()
+    assert sorted(((r.row_id, r.name, r.item_path and tuple(r.item_path), r.value) for r in got), key=repr) == scalars(LISTS)
+    objects = {(r.row_id, r.object_no): r for r in nested.objects_of(df, "row_id", ["a"], every=True).collect()}
+    assert all((r.row_id, r.holder_no) in objects for r in got if r.holder_no is not None)
+    assert {(r.name, r.value) for r in got if r.holder_no is None} == {(None, x) for x in ("a", "[5,\"q\"]", "5", "q", "1", "[2]", "2")}
+    n = next(o for (i, _), o in objects.items() if i == 0 and o.entity == "n")
+    assert (n.node, n.parent_node, objects[0, n.holder_no].node) == (None, 1, 1)
+    deep = next(r for r in got if r.value == "true")
+    assert (deep.item_path, deep.holder_no, deep.quoted) == ([2, 1, 0], n.object_no, False)
