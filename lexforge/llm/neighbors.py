@@ -107,6 +107,10 @@ def fit_forest(sample: np.ndarray, n_rows: int, trees: int = TREES, leaf_rows: i
     return Forest(normals, offsets, depth)
 
 
+def probes_for(probes: int, share: float, depth: int) -> int:
+    return max(probes, int(np.ceil(share * 2**depth)))
+
+
 def _direction(x: np.ndarray, rng) -> np.ndarray:
     w = np.zeros(x.shape[1])
     if len(x) > 1:
@@ -224,26 +228,31 @@ def leaf_edges(dim: int, k: int, least: float):
     return run
 
 
-def neighbor_edges(rows: DataFrame, n_rows: int, dim: int, k: int, least: float, probes: int, trees: int = TREES, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Directed candidate edges (x, y, sim) between different vectors; ``rows`` has (vid, vec, asks), usable vectors only."""
+def neighbor_edges(rows: DataFrame, n_rows: int, dim: int, k: int, least: float, probes: int, trees: int = TREES, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS, share: float = 0.0) -> DataFrame:
+    """Directed candidate edges (x, y, sim) between different vectors; ``rows`` has (vid, vec, asks), usable vectors only.
+
+    At least ``share`` of the number of leaves of a tree are opened beyond the own ones, however many leaves there are.
+    """
     spark = rows.sparkSession
     ship_package(spark)
     every = max(1, n_rows // sample_rows)
     got = rows.where(F.pmod(F.xxhash64("vid", F.lit(7)), F.lit(every)) == 0).select("vec").limit(2 * sample_rows).toArrow().column("vec").combine_chunks()
     sample = unit_rows(_vectors(got, dim)).astype(np.float32) if len(got) else np.zeros((0, dim), np.float32)
-    held = spark.sparkContext.broadcast(fit_forest(sample, n_rows, trees, leaf_rows))
+    forest = fit_forest(sample, n_rows, trees, leaf_rows)
+    probes = probes_for(probes, share, forest.depth)
+    held = spark.sparkContext.broadcast(forest)
     placed = rows.mapInArrow(leaf_rows_of(held, dim, probes), "leaf int, role int, vid long, vec binary")
     return placed.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(leaf_edges(dim, k, least), "x long, y long, sim double")
 
 
-def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5, least: float = 0.0, probes: int = 5, asks=None, trees: int = TREES, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5, least: float = 0.0, probes: int = 5, asks=None, trees: int = TREES, leaf_rows: int = LEAF_ROWS, share: float = 0.0) -> DataFrame:
     """(id, neighbor, rank, cosine): the k most similar other ids of every id for which ``asks`` holds (all without it), of cosine ``least`` or more.
 
     With all rows asking, an edge found from either end counts for both.
     """
     n = df.count()
     c = df.where(F.col(id_col).isNotNull() & usable(vec_col, dim)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.xxhash64(vec_col).alias("vid"), (F.lit(True) if asks is None else asks).alias("asks"))
-    edges = neighbor_edges(c.select("vid", "vec", "asks"), n, dim, k, least, probes, trees, leaf_rows)
+    edges = neighbor_edges(c.select("vid", "vec", "asks"), n, dim, k, least, probes, trees, leaf_rows, share=share)
     if asks is None:
         both = F.array(F.struct("x", "y", "sim"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "sim"))
         edges = edges.select(F.inline(both))  # a union would search every leaf twice

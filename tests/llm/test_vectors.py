@@ -69,3 +69,23 @@ def test_exact_neighbors(spark):
     df = table(spark, [("a", [1, 0]), ("b", [1, 0.1]), ("c", [0, 1])])
     got = V.exact_neighbors(df, "id", "vec", "id = 'a'", dim=2, k=1).collect()
     assert [(r.id, r.neighbor) for r in got] == [("a", "b")]
+
+
+def test_recall_keeps_up_with_the_number_of_leaves():
+    from lexforge.llm import queries_vectors as Q
+
+    x = V.unit_rows(np.random.default_rng(4).standard_normal((16_000, 64))).astype(np.float32)
+    forest = V.fit_forest(x, len(x), leaf_rows=16)
+    q = np.arange(100)
+    sim = x[q] @ x.T
+    sim[q, q] = -2
+    top = np.argsort(-sim, axis=1)[:, :5]
+    held = forest.leaves(x, 0)
+
+    def recall(probes):
+        opened = forest.leaves(x[q], probes)
+        return np.mean([np.isin(held[j], opened[i]).any() for i in range(len(q)) for j in top[i]])
+
+    assert 2**forest.depth == 1024 and recall(Q.WIDE) < 0.6
+    assert recall(V.probes_for(Q.WIDE, Q.SHARE, forest.depth)) >= 0.9
+    assert V.probes_for(Q.WIDE, Q.SHARE, 4) == 80
