@@ -166,8 +166,8 @@ def _null_hashes(spark: SparkSession) -> list[int]:
 def paragraphs_seen(df: DataFrame, row_col: str, batch_col: str, text_col: str, splitter: str) -> DataFrame:
     """Content of every batch against all accepted before: (row_id, full_copy_of, n_paragraphs, n_shared, coverage).
 
-    Paragraphs are the parts of the text between matches of ``splitter`` (a Java pattern), folded alike; those of fewer than
-    four words are left out. ``full_copy_of`` is the first row with the same folded text, ``coverage`` the part of a row's
+    Paragraphs are the parts of the text between matches of ``splitter`` (a Java pattern), folded alike; those
+    without any word are left out. ``full_copy_of`` is the first row with the same folded text, ``coverage`` the part of a row's
     paragraphs that rows of earlier batches have.
     """
     spark = df.sparkSession
@@ -177,7 +177,7 @@ def paragraphs_seen(df: DataFrame, row_col: str, batch_col: str, text_col: str,
     some = (F.length(F.trim("text")) > 0).alias("some")
     contents = by_batch(once.select("batch", "row_id", F.xxhash64(folded_col("text")).alias("h"), some), "feed-contents")
     cut = base.select("batch", "row_id", F.explode(F.split("text", splitter)).alias("p")).withColumn("p", folded_col("p"))
-    cut = cut.where(F.length("p") - F.length(F.replace("p", F.lit(" "))) > 4).select("batch", "row_id", F.xxhash64("p").alias("h")).distinct()
+    cut = cut.where(F.trim("p") != "").select("batch", "row_id", F.xxhash64("p").alias("h")).distinct()
     paragraphs = by_batch(cut, "feed-paragraphs")
     whole, parts, out = SeenHashes(spark, "contents"), SeenHashes(spark, "paragraphs"), None
     for b in batches_of(base, "batch"):

@@ -60,6 +60,12 @@ def test_paragraph_coverage(spark):
     assert {k: r.full_copy_of for k, r in got.items() if r.full_copy_of} == {5: 1}
 
 
+def test_short_paragraphs_count(spark):
+    rows = [(1, 1, 'xe tải dừng trước vạch\n"nodeId": 9\n"role": "Phó ban"'), (2, 2, 'xe tải dừng trước vạch\n"nodeId": 10\n"role": "Phó ban"'), (3, 2, '"nodeId": 9\n--\n\n'), (4, 2, "{}")]
+    got = {r.row_id: r for r in H.paragraphs_seen(spark.createDataFrame(rows, "row_id long, batch_no int, text string"), "row_id", "batch_no", "text", "\n").collect()}
+    assert {k: (r.n_paragraphs, r.n_shared, r.coverage) for k, r in got.items()} == {1: (3, 0, 0.0), 2: (3, 2, 0.666667), 3: (1, 1, 1.0), 4: (0, 0, 0.0)}
+
+
 def test_fill_redistributes():
     assert M._fill(100, [0.5, 0.5], [10, 1000]) == [10, 90]
     assert M._fill(100, [0.5, 0.3, 0.2], [1000, 0, 1000]) == pytest.approx([71.428571, 0, 28.571429])
