@@ -275,13 +275,24 @@ def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: in
     return near.select(F.least("id", "neighbor").alias("id_a"), F.greatest("id", "neighbor").alias("id_b")).distinct()
 
 
-def exact_neighbors(df: DataFrame, id_col: str, vec_col: str, asks, most: int = 2_000, dim: int = 64, k: int = 5) -> DataFrame:
-    """The true k nearest of at most ``most`` asking ids, by comparing them with every vector: the yardstick for recall."""
+def exact_neighbors(df: DataFrame, id_col: str, vec_col: str, asks, block: int = 2_000, dim: int = 64, k: int = 5) -> DataFrame:
+    """The true k nearest of all asking ids, by comparing blocks of about ``block`` of them with every vector: the yardstick for recall."""
     ship_package(df.sparkSession)
     c = df.where(F.col(id_col).isNotNull() & usable(vec_col, dim)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
-    q = c.where(asks).orderBy("id").limit(most).toArrow()
-    held = df.sparkSession.sparkContext.broadcast((q.column("id").to_pylist(), unit_rows(_vectors(q.column("vec").combine_chunks(), dim)) if len(q) else np.zeros((0, dim))))
-
+    asking = c.where(asks)
+    blocks = -(-max(1, asking.count()) // block)
+    best, out = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "neighbor"), None
+    for b in range(blocks):
+        # salted: the asking ids may be picked by their plain hash
+        q = asking.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)) == b).toArrow()
+        held = df.sparkSession.sparkContext.broadcast((q.column("id").to_pylist(), unit_rows(_vectors(q.column("vec").combine_chunks(), dim)) if len(q) else np.zeros((0, dim))))
+        cand = c.mapInArrow(_exact_block(held, dim, k), "id string, neighbor string, cosine double").where("id <> neighbor")
+        top = cand.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
+def _exact_block(held, dim: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = held.value
         for rb in batches:
@@ -295,6 +306,4 @@ def exact_neighbors(df: DataFrame, id_col: str, vec_col: str, asks, most: int =
                 [pa.array(np.repeat(ids, m)), pa.array([other[j] for j in top.reshape(-1)]), pa.array(np.take_along_axis(sim, top, 1).reshape(-1))], names=["id", "neighbor", "cosine"]
             )
 
-    cand = c.mapInArrow(run, "id string, neighbor string, cosine double").where("id <> neighbor")
-    best = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "neighbor")
-    return cand.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return run

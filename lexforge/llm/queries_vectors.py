@@ -29,7 +29,7 @@ def p3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of the true 5 nearest that p3_topk finds, over at most 2,000 of its queries."""
+    """The share of the true 5 nearest that p3_topk finds, over all of its queries."""
     true = neighbors.exact_neighbors(table(spark, sf_dir, "vietlaw_chunks"), "chunk_id", "embedding", F.pmod(F.xxhash64("id"), F.lit(100)) == 0)
     got = p3_topk(spark, sf_dir).select(F.col("chunk_id").alias("id"), F.col("neighbor_id").alias("neighbor"), F.lit(1).alias("hit"))
     return true.join(got, ["id", "neighbor"], "left").agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.greatest(F.lit(1), F.count("*")), 4).alias("recall"))

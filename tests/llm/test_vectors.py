@@ -89,3 +89,13 @@ def test_recall_keeps_up_with_the_number_of_leaves():
     assert 2**forest.depth == 1024 and recall(Q.WIDE) < 0.6
     assert recall(V.probes_for(Q.WIDE, Q.SHARE, forest.depth)) >= 0.9
     assert V.probes_for(Q.WIDE, Q.SHARE, 4) == 80
+
+
+def test_exact_neighbors_of_all_blocks(spark):
+    x = np.random.default_rng(6).standard_normal((60, 4))
+    df = table(spark, [(f"{i:02d}", v) for i, v in enumerate(x)])
+    u = V.unit_rows(x.astype(np.float32))
+    sim = u @ u.T
+    np.fill_diagonal(sim, -2)
+    got = {(r.id, r.neighbor) for r in V.exact_neighbors(df, "id", "vec", "id < '50'", 20, dim=4, k=2).collect()}
+    assert got == {(f"{i:02d}", f"{j:02d}") for i in range(50) for j in np.argsort(-sim[i])[:2]}
