@@ -1,7 +1,7 @@
 """Mixing sources to target weights by hierarchical budgeting.
 
-The tree is domain - language - source, here source - language - documents with one domain: a budget in tokens is handed
-down from the root by the weights. A leaf can give its tokens ``max_repeats`` times. What a leaf can't give is handed to its
+The tree is domain - language - source - documents with one domain: a budget in tokens is handed down from the root by the
+weights. A source's weight is dealt to its languages by its tokens in each; a language weighs as much as its sources in it. A leaf can give its tokens ``max_repeats`` times. What a leaf can't give is handed to its
 siblings by their weights first; what the siblings can't take goes up to the parent's siblings. Each leaf fills its budget by
 whole passes over its documents and a prefix, in seeded random order, of one more pass.
 
@@ -101,14 +101,23 @@ def plan_budgets(tokens: dict[tuple[str, str], int], targets: dict[str, tuple[fl
     caps = [float(own[s] * targets[s][1]) for s in names]
     scale = sum(targets[s][0] for s in names) or 1.0
     want = [targets[s][0] / scale * total for s in names]
-    got = _fill(float(total), [targets[s][0] for s in names], caps)
-    sources, leaves = [], []
-    for s, cap, w, g in zip(names, caps, want, got):
-        sources.append({"source": s, "weight": targets[s][0], "max_repeats": targets[s][1], "own": own[s], "wanted": w, "budget": g, "short": cap < w - 1e-6})
-        langs = sorted(x for (y, x) in tokens if y == s and tokens[y, x])
-        sizes = [float(tokens[s, x]) for x in langs]
-        for x, n, b in zip(langs, sizes, _fill(g, sizes, [n * targets[s][1] for n in sizes])):
-            leaves.append({"source": s, "lang": x, "tokens": int(n), "budget": int(b)})
+    # language -> its leaves (source, weight, cap); one without weight can take nothing
+    tree: dict[str, list[tuple[str, float, float]]] = {}
+    for (s, x), n in sorted(tokens.items()):
+        if n and s in targets:
+            weight = targets[s][0] * n / own[s]
+            tree.setdefault(x, []).append((s, weight, float(n * targets[s][1]) if weight > 0 else 0.0))
+    langs = sorted(tree)
+    given = _fill(float(total), [sum(w for _, w, _ in tree[x]) for x in langs], [sum(c for _, _, c in tree[x]) for x in langs])
+    leaves, budget = [], dict.fromkeys(names, 0.0)
+    for x, g in zip(langs, given):
+        for (s, _, _), b in zip(tree[x], _fill(g, [w for _, w, _ in tree[x]], [c for _, _, c in tree[x]])):
+            leaves.append({"source": s, "lang": x, "tokens": int(tokens[s, x]), "budget": int(b + 1e-6)})
+            budget[s] += b
+    sources = [
+        {"source": s, "weight": targets[s][0], "max_repeats": targets[s][1], "own": own[s], "wanted": w, "budget": budget[s], "short": cap < w - 1e-6}
+        for s, cap, w in zip(names, caps, want)
+    ]
     return sources, leaves
 
 

@@ -100,3 +100,13 @@ def test_mixture_of_nothing(spark):
     docs = spark.createDataFrame([], DOC)
     m = M.Mixture(docs, spark.createDataFrame([("a", 1.0, 2)], "source string, target_weight double, max_repeats int"))
     assert m.documents().count() == 0 and m.shares().first().actual_share == 0
+
+
+def test_shortages_go_to_sources_of_the_language_first():
+    tokens, targets = {("a", "vi"): 100, ("b", "vi"): 1000, ("c", "en"): 1000}, {"a": (0.4, 1), "b": (0.3, 1), "c": (0.3, 1)}
+    sources, leaves = M.plan_budgets(tokens, targets, 1000)
+    assert {(x["source"], x["lang"]): x["budget"] for x in leaves} == {("a", "vi"): 100, ("b", "vi"): 600, ("c", "en"): 300}
+    assert {s["source"]: round(s["budget"]) for s in sources} == {"a": 100, "b": 600, "c": 300} and [s["short"] for s in sources] == [True, False, False]
+    # what the language can't take goes to the other one
+    _, leaves = M.plan_budgets(tokens | {("b", "vi"): 200}, targets, 1000)
+    assert {(x["source"], x["lang"]): x["budget"] for x in leaves} == {("a", "vi"): 100, ("b", "vi"): 200, ("c", "en"): 700}
