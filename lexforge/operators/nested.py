@@ -23,8 +23,6 @@ import pyarrow.compute as pc
 
 #: Bytes of JSON handled at once.
 BATCH_BYTES = 2_000_000
-#: Rounds of strings within strings.
-MAX_ROUNDS = 12
 
 _QUOTE, _BACK, _COMMA, _COLON = (ord(c) for c in '"\\,:')
 _OPEN_OBJ, _CLOSE_OBJ, _OPEN_ARR, _CLOSE_ARR = (ord(c) for c in "{}[]")
@@ -250,7 +248,7 @@ def parse(texts: pa.Array) -> Containers:
     spots = np.full(len(texts), -1)  # its position there, if that is a list
     names = pa.nulls(len(texts), pa.string())
     out, base = [], 0
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round strips a layer of quotes, so it ends
         valid, tok, kind, t_row, opens, parent, obj, around, number, buf, close_of, end_of, key_tok, val_tok, k_text, is_str, is_sca = _round(texts)
         use = valid[t_row[opens]]
         shift = np.cumsum(use) - 1 + base  # new number of each container that counts

@@ -143,3 +143,11 @@ def test_items_of_lists_are_members(spark):
     assert (n.node, n.parent_node, objects[0, n.holder_no].node) == (None, 1, 1)
     deep = next(r for r in got if r.value == "true")
     assert (deep.item_path, deep.holder_no, deep.quoted) == ([2, 1, 0], n.object_no, False)
+
+
+def test_strings_within_strings_of_any_depth():
+    s = '{"nodeId":2}'
+    for _ in range(15):
+        s = json.dumps(s)
+    t = '{"nodeId":1,"a":' + s + "}"
+    assert fast([t]) == brute([t]) == {(0, 1, 2)}
