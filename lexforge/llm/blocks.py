@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.session import materialize
+
 #: Characters handled at once in a Python worker; keeps its arrays in the tens of megabytes.
 BATCH_CHARS = 400_000
 #: A class of exact copies up to this size is expanded into all its pairs; a larger one is linked to its first member only.
@@ -57,10 +59,9 @@ def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return hit
 
 
-def keep_known(df: DataFrame, column: str, known: DataFrame, known_column: str, n: int) -> DataFrame:
-    """Rows whose ``column`` may be among ``known``: a bounded bitmap, so a join need not shuffle the others. Lets false positives pass."""
-    spark: SparkSession = df.sparkSession
-    held = spark.sparkContext.broadcast(collect_bitmap(known, known_column, bitmap_bits(n)))
+def _may_be(known: DataFrame, column: str, n: int):
+    """A function of a column: whether it may be among ``known``; a bounded bitmap, so others may pass too."""
+    held = known.sparkSession.sparkContext.broadcast(collect_bitmap(known, column, bitmap_bits(n)))
 
     @F.pandas_udf("boolean")
     def may_be(s):
@@ -68,7 +69,23 @@ def keep_known(df: DataFrame, column: str, known: DataFrame, known_column: str,
 
         return pd.Series(in_bitmap(held.value, s.to_numpy(dtype=np.int64, na_value=0)))
 
-    return df.where(may_be(F.col(column)))
+    return may_be
+
+
+def keep_known(df: DataFrame, column: str, known: DataFrame, known_column: str, n: int) -> DataFrame:
+    """Rows whose ``column`` may be among ``known``: a bounded bitmap, so a join need not shuffle the others. Lets false positives pass."""
+    return df.where(_may_be(known, known_column, n)(F.col(column)))
+
+
+def one_of_each(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value), one row of each key; equal keys have equal values. Only rows whose key may be repeated are shuffled, one of each key a task."""
+    repeated = materialize(rows.groupBy(key).count().where("count > 1").select(key), "repeated")
+    n = repeated.count()
+    if n == 0:
+        return rows.select(key, value)
+    may = _may_be(repeated, key, n)(F.col(key))
+    some = rows.where(may).groupBy(key).agg(F.first(value).alias(value))
+    return rows.where(~may).select(key, value).unionByName(some)
 
 
 def expand_classes(links: DataFrame, members: DataFrame, limit: int = EXPAND_COPIES) -> DataFrame:

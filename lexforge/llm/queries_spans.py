@@ -28,4 +28,16 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found, "p9_shared": p9_shared}
-SQL: dict[str, str] = {}
+_WINDOWS = "SELECT DISTINCT doc_id, substr(text, p + 1, 400) AS w FROM (SELECT doc_id, text, unnest(range(length(text) - 399)) AS p FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 400)"
+SQL: dict[str, str] = {
+    "p9_found": f"""WITH w AS ({_WINDOWS}), s AS (SELECT * FROM w WHERE w IN (SELECT w FROM w GROUP BY w HAVING count(*) > 1))
+        SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.w = b.w AND a.doc_id < b.doc_id""",
+    "p9_shared": """
+        WITH w AS (SELECT doc_id, p, substr(text, p + 1, 400) AS w FROM (SELECT doc_id, text, unnest(range(length(text) - 399)) AS p FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 400)),
+        k AS (SELECT w FROM w GROUP BY w HAVING min(doc_id) < max(doc_id)),
+        s AS (SELECT doc_id, p, p + 400 AS e, coalesce(max(p + 400) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w SEMI JOIN k ON w.w = k.w),
+        g AS (SELECT doc_id, sum(greatest(0, e - greatest(p, before))) AS shared, count(*) FILTER (WHERE p > before OR before = 0) AS stretches FROM s GROUP BY doc_id)
+        SELECT d.doc_id, length(d.text)::BIGINT AS n_chars, coalesce(shared, 0)::BIGINT AS shared_chars, round(coalesce(shared, 0) / greatest(1, length(d.text)), 6) AS shared_part,
+            coalesce(stretches, 0)::BIGINT AS n_stretches
+        FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) d LEFT JOIN g ON g.doc_id = d.doc_id""",
+}

@@ -1,14 +1,19 @@
 """Long exact spans shared between records, by fixed-block anchors.
 
 Every text is cut into non-overlapping reference blocks of half the least length; a stretch of the least length holds a
-whole block wherever it lies. The blocks' hashes are the index; every rolling window of every text probes it, first in a
-bitmap of bounded size, then by a join on the hash. Hits on one diagonal of two texts are extended to their maximal exact
-repeats by comparing the texts themselves.
+whole block wherever it lies. The blocks are the index and every rolling window of every text probes it. A block and the
+windows are keyed by their landmark: the leftmost of the grams (shorter windows) within it whose hash is least. Equal windows
+have equal landmarks at equal offsets, and neighbouring windows mostly share one, so that a run of windows of one landmark
+probes as one row. What is shuffled is a fixed small part of the characters, whatever the size of the corpus: no filter has
+to be sized, none fills up. Hits on one diagonal of two texts are extended to their maximal exact repeats by comparing the
+texts themselves.
 
-A block that very many texts hold, but as part of a stretch that may be shorter than the least length (a footer), would
-give pairs for nothing. Such blocks are taken out and the texts that hold them are indexed again by blocks nearly as long
-as the least length, one every REFINED_STEP characters, so that nothing is lost and only stretches that nearly or wholly
-qualify are compared.
+A landmark that stands in very many places (a footer, a ruled line) would give pairs for nothing. Windows of the full least
+length around such places are looked at instead, first by nearly as long landmarks, then by their own hashes; only texts that
+do share such a window make a pair, and pairs of a hot window are made by many tasks (salted).
+
+``shared_parts`` makes no pairs: a run of windows whose surroundings another text has as well is shared as a whole, the windows
+of the other runs are counted by hash.
 
 Defined cases: null, empty and short texts share nothing; equal texts form one class (blocks.expand_classes); repeated rows
 of an id count once; extra columns are ignored; an empty table gives no rows. Lengths count code points.
@@ -24,68 +29,136 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.llm import textkit as K
-from lexforge.llm.blocks import bitmap_bits, by_chars, collect_bitmap, expand_classes, in_bitmap, keep_known
+from lexforge.llm.blocks import by_chars, expand_classes, keep_known, one_of_each
 from lexforge.session import materialize, ship_package
 
-#: Texts that hold a block beyond which it is indexed anew by longer blocks.
+#: Places of a landmark beyond which its surroundings are looked at by windows of the full length. Changes the plan, not the rows.
 HOT_BLOCK = 200
-REFINED_STEP = 20
+#: Texts of one window that meet in a task as one side of the pairs.
+PAIR_BLOCK = 2_000
+#: Characters of one text handled at once; longer texts go in overlapping parts.
+PART_CHARS = 4_000_000
+_PLACE = np.uint64((1 << 24) - 1)
+
+
+def _least_grams(h: np.ndarray, width: int) -> np.ndarray:
+    """For each place the place of the leftmost least hash among it and the ``width`` - 1 after it; places too near the end are left out."""
+    m = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+    n, step = len(h) - width + 1, 1
+    while 2 * step <= width:
+        m = np.minimum(m[:-step], m[step:])
+        step *= 2
+    if step < width:
+        m = np.minimum(m[: len(m) - (width - step)], m[width - step :])
+    return (m[:n] & _PLACE).astype(np.int64)
+
+
+def _parts(texts: list[str], overlap: int) -> Iterator[tuple[int, int, str]]:
+    """(text, place, characters): texts, the very long ones in parts that overlap by ``overlap``."""
+    step = max(PART_CHARS, 2 * overlap)
+    for i, t in enumerate(texts):
+        for s in range(0, max(1, len(t) - overlap), step):
+            yield i, s, t if len(t) <= step else t[s : s + step + overlap]
+
 
+def landmark_runs(texts: list[str], size: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, landmark hash, its place, first and last start of the windows of ``size`` that have it), arrays for bounded groups of texts."""
+    parts = list(_parts(texts, size - 1))
+    for lo, hi in by_chars([p[2] for p in parts]):
+        group = parts[lo:hi]
+        c = K.codes("".join(p[2] for p in group))
+        if len(c) < size:
+            continue
+        n = np.fromiter((len(p[2]) for p in group), np.int64, len(group))
+        base = np.cumsum(n) - n
+        of = np.repeat(np.arange(len(group)), n)
+        start = np.arange(len(c) - gram + 1)
+        h = K.span_hash(K.prefix_hash(c), start, start + gram)
+        at = _least_grams(h, size - gram + 1)
+        s = np.flatnonzero(of[: len(at)] == of[size - 1 :])  # windows within one text
+        if not len(s):
+            continue
+        mark, own = at[s], of[s]
+        first = np.ones(len(s), dtype=bool)
+        first[1:] = (mark[1:] != mark[:-1]) | (own[1:] != own[:-1])
+        i = np.flatnonzero(first)
+        j = np.append(i[1:], len(s)) - 1
+        p = own[i]
+        text, shift = (np.array([g[k] for g in group], dtype=np.int64)[p] for k in (0, 1))
+        shift = shift - base[p]
+        yield text, h[mark[i]].view(np.int64), mark[i] + shift, s[i] + shift, s[j] + shift
 
-def _starts(lengths: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, place) of the windows of ``size`` that begin every ``step`` characters."""
-    count = np.maximum(0, (lengths - size) // step + 1)
-    text = np.repeat(np.arange(len(lengths)), count)
-    return text, (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * step
 
+def landmarks(size: int, gram: int, around: int = 0):
+    """(h, sid, pos, first, last, off): runs of windows of one landmark; off is its offset in the reference block among them (-1: there is none).
 
-def windows(size: int, step: int, held=None):
-    """(h, sid, pos) of windows; with ``held``, only of those in that bitmap."""
+    With ``around``, (h, sid, pos, first, last, off) have in off the hash of the landmark with that many characters on either side (null at the ends of a text).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            sids = rb.column("sid").to_numpy()
-            pick = np.sort(np.unique(sids, return_index=True)[1])
-            sids, texts = sids[pick], rb.column("text").take(pa.array(pick)).to_pylist()
-            for lo, hi in by_chars(texts):
-                part = texts[lo:hi]
-                c = K.codes("".join(part))
-                n = np.fromiter(map(len, part), np.int64, len(part))
-                base = np.cumsum(n) - n
-                text, pos = _starts(n, size, step)
-                start = base[text] + pos
-                h = K.span_hash(K.prefix_hash(c), start, start + size).view(np.int64)
-                if held is not None:
-                    hit = in_bitmap(held.value, h)
-                    h, text, pos = h[hit], text[hit], pos[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(sids[lo:hi][text]), pa.array(pos.astype(np.int32))], names=["h", "sid", "pos"])
+            sids, texts = rb.column("sid").to_numpy(), rb.column("text").to_pylist()
+            for text, h, pos, first, last in landmark_runs(texts, size, gram):
+                if around:
+                    off = _surroundings(texts, text, pos, gram, around)
+                else:
+                    block = -(-first // size) * size
+                    off = pa.array(np.where(block <= last, pos - block, -1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h), pa.array(sids[text]), pa.array(pos.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), off],
+                    names=["h", "sid", "pos", "first", "last", "off"],
+                )
 
     return run
 
 
-def _probe(texts: DataFrame, size: int, step: int, n_blocks: int, name: str, hot: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate diagonals (sid_a, sid_b, delta) and, with ``hot``, the hashes of blocks that more texts hold."""
-    spark = texts.sparkSession
-    index = materialize(texts.mapInArrow(windows(size, step), "h long, sid long, pos int").distinct(), f"{name}-index")
-    bits = bitmap_bits(n_blocks)
-    held = spark.sparkContext.broadcast(collect_bitmap(index, "h", bits))
-    probes = texts.mapInArrow(windows(size, 1, held), "h long, sid long, pos int")
-    # windows at the blocks' own places all hit; the join drops those that nobody else has
-    hashes = None
-    if hot is not None:
-        hashes = materialize(index.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h"), f"{name}-hot")
-        if hashes.isEmpty():
-            hashes = None
-        else:
-            index = index.join(hashes, "h", "left_anti")
-    i = index.select("h", F.col("sid").alias("y"), F.col("pos").alias("q"))
-    hits = probes.join(i, "h").where("sid <> y")
-    flip = F.col("sid") > F.col("y")
-    pairs = hits.select(
-        F.least("sid", "y").alias("sid_a"), F.greatest("sid", "y").alias("sid_b"),
-        F.when(flip, F.col("q") - F.col("pos")).otherwise(F.col("pos") - F.col("q")).alias("delta"),
-    ).distinct()
-    return pairs, hashes
+def _surroundings(texts: list[str], text: np.ndarray, pos: np.ndarray, gram: int, around: int) -> pa.Array:
+    """Hashes of the stretches from ``around`` before to ``around`` after each landmark; null where the text ends before."""
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    fits = (pos >= around) & (pos + gram + around <= n[text])
+    out = np.zeros(len(text), dtype=np.int64)
+    for lo, hi in by_chars(texts):
+        i = np.flatnonzero(fits & (text >= lo) & (text < hi))
+        if len(i):
+            base = np.cumsum(n[lo:hi]) - n[lo:hi]
+            s = base[text[i] - lo] + pos[i] - around
+            out[i] = K.span_hash(K.prefix_hash(K.codes("".join(texts[lo:hi]))), s, s + gram + 2 * around).view(np.int64)
+    return pa.array(out, mask=~fits)
+
+
+def landmarks_at(size: int, gram: int, inner: int):
+    """As landmarks, of the windows that hold one of the ``inner`` characters from a place in ``places`` whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            sids, texts, places = rb.column("sid").to_numpy(), rb.column("text").to_pylist(), rb.column("places").to_pylist()
+            near = [np.zeros(len(t) + 2, dtype=np.int32) for t in texts]
+            for held, at in zip(near, places):
+                p = np.array(at, dtype=np.int64)
+                np.add.at(held, np.maximum(0, p + inner - size), 1)
+                np.add.at(held, p + 1, -1)
+                np.cumsum(held, out=held)
+                np.cumsum(held > 0, out=held)  # windows up to a place that count
+            for text, h, _, first, last in landmark_runs(texts, size, gram):
+                some = np.fromiter((near[i][b] > (near[i][a - 1] if a else 0) for i, a, b in zip(text, first, last)), bool, len(text))
+                yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(sids[text[some]])] + [pa.array(x[some].astype(np.int32)) for x in (first, last)], names=["h", "sid", "first", "last"])
+
+    return run
+
+
+def window_hashes(size: int):
+    """(h, sid, pos): the windows of ``size`` that begin in one of the ``runs`` (first, last) of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for sid, text, runs in zip(rb.column("sid").to_pylist(), rb.column("text").to_pylist(), rb.column("runs").to_pylist()):
+                held = K.prefix_hash(K.codes(text))
+                start = np.unique(np.concatenate([np.arange(r["first"], r["last"] + 1) for r in runs]))
+                for k in range(0, len(start), 100_000):
+                    s = start[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(K.span_hash(held, s, s + size).view(np.int64)), pa.array(np.full(len(s), sid)), pa.array(s.astype(np.int32))], names=["h", "sid", "pos"])
+
+    return run
 
 
 def extend(least: int):
@@ -93,7 +166,7 @@ def extend(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            ca, cb, out = {}, {}, []
+            out = []
             for a, b, ta, tb, deltas in zip(*(rb.column(c).to_pylist() for c in ("sid_a", "sid_b", "text_a", "text_b", "deltas"))):
                 x, y = K.codes(ta), K.codes(tb)
                 for d in deltas:  # place in a = place in b + d
@@ -110,26 +183,59 @@ def extend(least: int):
     return run
 
 
-def shared_stretches(rows: DataFrame, least: int = 400) -> DataFrame:
-    """Maximal stretches (sid_a, sid_b, start_a, start_b, length) that different texts of ``rows`` (sid, text) share."""
-    spark = rows.sparkSession
-    ship_package(spark)
-    texts = rows.select("sid", "text").where(F.length("text") >= least)
+def _in_two(rows: DataFrame, *key: str) -> DataFrame:
+    """(key, n): keys that rows of two different texts have, and the number of their rows; counted before the shuffle, so no key gathers."""
+    return rows.groupBy(*key).agg(F.min("sid").alias("_a"), F.max("sid").alias("_b"), F.count("*").alias("n")).where("_a < _b").select(*key, "n")
+
+
+def _with_texts(texts: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` (sid, ...), one of each sid, with their texts; the other texts aren't shuffled."""
+    rows = materialize(rows, name)
+    return keep_known(texts, "sid", rows, "sid", rows.count()).join(rows, "sid")
+
+
+def _window_pairs(texts: DataFrame, rows: DataFrame, least: int) -> DataFrame:
+    """Pairs (sid_a, sid_b) of texts with an equal window of ``least`` characters among the runs (sid, first, last) of ``rows``."""
+    runs = rows.groupBy("sid").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    hashed = _with_texts(texts, runs, "spans-runs").mapInArrow(window_hashes(least), "h long, sid long, pos int")
+    hashed = materialize(hashed.select("h", "sid").distinct(), "spans-windows")
+    keys = _in_two(hashed, "h").withColumn("n", F.ceil(F.col("n") / PAIR_BLOCK).cast("long"))
+    live = hashed.join(keys, "h")
+    x = live.select("h", F.col("sid").alias("x"), F.pmod(F.xxhash64("sid"), F.col("n")).alias("salt"))
+    y = live.select("h", F.col("sid").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("salt"))
+    return x.join(y, ["h", "salt"]).where("x < y").select(F.col("x").alias("sid_a"), F.col("y").alias("sid_b"))
+
+
+def _cold_and_hot(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate diagonals (sid_a, sid_b, delta), and pairs (sid_a, sid_b) around hot landmarks if there are any."""
     size = least // 2
-    n_blocks = texts.agg(F.sum(F.floor(F.length("text") / size))).first()[0] or 0
-    pairs, hot = _probe(texts, size, size, n_blocks, "spans", HOT_BLOCK)
-    if hot is not None:
-        fine = least - REFINED_STEP + 1
-        bits = bitmap_bits(n_blocks)
-        held = spark.sparkContext.broadcast(collect_bitmap(hot, "h", bits))
-        holders = materialize(texts.mapInArrow(windows(size, 1, held), "h long, sid long, pos int").join(hot, "h").select("sid").distinct(), "spans-holders")
-        again = texts.join(holders, "sid", "left_semi")
-        more, _ = _probe(again, fine, REFINED_STEP, n_blocks * size // REFINED_STEP, "spans-fine", None)
-        pairs = pairs.unionByName(more).distinct()
+    gram = max(1, size * 8 // 25)
+    rows = materialize(texts.mapInArrow(landmarks(size, gram), "h long, sid long, pos int, first int, last int, off long"), "spans-landmarks")
+    keys = materialize(_in_two(rows, "h"), "spans-keys")
+    live = rows.join(keys, "h")
+    cold = materialize(live.where(F.col("n") <= HOT_BLOCK), "spans-cold")
+    blocks = cold.where("off >= 0").select("h", F.col("sid").alias("y"), F.col("pos").alias("q"), "off")
+    # a window of x begins where the block would: the landmark less its offset
+    hits = cold.drop("off", "n").join(blocks, "h").where("sid <> y and pos - off between first and last")
+    flip = F.col("sid") > F.col("y")
+    pairs = hits.select(
+        F.least("sid", "y").alias("sid_a"), F.greatest("sid", "y").alias("sid_b"),
+        F.when(flip, F.col("q") - F.col("pos")).otherwise(F.col("pos") - F.col("q")).alias("delta"),
+    ).distinct()
+    if keys.where(F.col("n") > HOT_BLOCK).isEmpty():
+        return pairs, None
+    places = live.where(F.col("n") > HOT_BLOCK).groupBy("sid").agg(F.collect_set("pos").alias("places"))
+    long_gram = max(gram, least - max(1, least // 20))
+    around = materialize(_with_texts(texts, places, "spans-places").mapInArrow(landmarks_at(least, long_gram, gram), "h long, sid long, first int, last int"), "spans-around")
+    return pairs, _window_pairs(texts, around.join(_in_two(around, "h"), "h", "left_semi"), least)
+
+
+def shared_stretches(texts: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """Maximal stretches (sid_a, sid_b, start_a, start_b, length) on the diagonals ``pairs`` of ``texts`` (sid, text)."""
     pairs = materialize(pairs, "spans-pairs")
     n = pairs.count()
     grouped = pairs.groupBy("sid_a", "sid_b").agg(F.collect_set("delta").alias("deltas"))
-    part = keep_known(texts, "sid", pairs.select(F.explode(F.array("sid_a", "sid_b")).alias("sid")), "sid", 2 * n).groupBy("sid").agg(F.first("text").alias("text"))
+    part = keep_known(texts, "sid", pairs.select(F.explode(F.array("sid_a", "sid_b")).alias("sid")), "sid", 2 * n)
     a = part.select(F.col("sid").alias("sid_a"), F.col("text").alias("text_a"))
     b = part.select(F.col("sid").alias("sid_b"), F.col("text").alias("text_b"))
     return grouped.join(a, "sid_a").join(b, "sid_b").mapInArrow(extend(least), "sid_a long, sid_b long, start_a int, start_b int, length int")
@@ -139,20 +245,44 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("sid")).where("id is not null and text is not null")
 
 
+def _long_texts(rows: DataFrame, least: int) -> DataFrame:
+    """(sid, text), each different text of at least ``least`` characters once."""
+    ship_package(rows.sparkSession)
+    return one_of_each(rows.select("sid", "text").where(F.length("text") >= least), "sid", "text")
+
+
 def sharing_pairs(df: DataFrame, id_col: str, text_col: str, least: int = 400) -> DataFrame:
     """Pairs (id_a, id_b) of different ids that share a stretch of at least ``least`` characters."""
     rows = keyed(df, id_col, text_col)
-    links = materialize(shared_stretches(rows, least), "spans-found").select("sid_a", "sid_b").distinct()
+    texts = _long_texts(rows, least)
+    diagonals, hot = _cold_and_hot(texts, least)
+    links = shared_stretches(texts, diagonals, least).select("sid_a", "sid_b")
+    links = materialize((links if hot is None else links.unionByName(hot)).distinct(), "spans-found")
     return expand_classes(links, rows.where(F.length("text") >= least).select("id", "sid"))
 
 
+def _shared_windows(texts: DataFrame, least: int) -> DataFrame:
+    """(sid, s, e): stretches, overlapping, that together cover every window of ``least`` characters that another text has too. No pairs are made."""
+    gram = max(1, least * 3 // 4)
+    rows = materialize(texts.mapInArrow(landmarks(least, gram, least - gram), "h long, sid long, pos int, first int, last int, off long"), "spans-landmarks")
+    live = materialize(rows.join(_in_two(rows, "h").select("h"), "h", "left_semi"), "spans-live")
+    # the windows of a run lie within its surroundings: if another text has those, it has them all
+    whole = _in_two(live.where("off is not null"), "h", "off").select("h", "off", F.lit(1).alias("all"))
+    split = materialize(live.join(whole, ["h", "off"], "left"), "spans-split")
+    spans = split.where("all = 1").select("sid", F.col("first").alias("s"), (F.col("last") + least).alias("e"))
+    rest = split.where("all is null").groupBy("sid").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    # those windows may be equal to windows within runs that are shared as a whole, so their texts' runs of the same landmark count as well
+    others = split.join(split.where("all is null").select("h").distinct(), "h", "left_semi").where("all = 1").groupBy("sid").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    both = rest.unionByName(others).groupBy("sid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    hashed = materialize(_with_texts(texts, both, "spans-runs").mapInArrow(window_hashes(least), "h long, sid long, pos int"), "spans-windows")
+    single = hashed.join(_in_two(hashed, "h").select("h"), "h", "left_semi").select("sid", F.col("pos").alias("s"), (F.col("pos") + least).alias("e"))
+    return spans.unionByName(single)
+
+
 def shared_parts(df: DataFrame, id_col: str, text_col: str, least: int = 400) -> DataFrame:
     """One row for each id: its length, how many of its characters lie in stretches found elsewhere too, their share, and the number of such stretches after merging."""
     rows = keyed(df, id_col, text_col)
-    found = materialize(shared_stretches(rows, least), "spans-found")
-    spans = found.select(F.col("sid_a").alias("sid"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e")).unionByName(
-        found.select(F.col("sid_b").alias("sid"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("length")).alias("e"))
-    )
+    spans = _shared_windows(_long_texts(rows, least), least)
     ids = rows.select("id", "sid", F.length("text").alias("n_chars")).distinct()
     copies = ids.groupBy("sid", "n_chars").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n_chars") >= least))
     spans = spans.unionByName(copies.select("sid", F.lit(0).alias("s"), F.col("n_chars").alias("e"))).groupBy("sid", "s").agg(F.max("e").alias("e"))

@@ -5,6 +5,7 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexforge.llm import leakage, spans
 
@@ -64,6 +65,61 @@ def test_shared_parts(spark):
     assert got == {1: (53, 50, 1), 2: (52, 50, 1), 3: (30, 30, 1), 4: (30, 30, 1), 6: (4, 0, 0)}
 
 
+def covered(rows, least):
+    """Characters of each text that lie in windows of ``least`` that another text has."""
+    out = {}
+    for i, t in rows:
+        hit = [False] * len(t)
+        for s in range(len(t) - least + 1):
+            if any(t[s : s + least] in u for j, u in rows if j != i):
+                hit[s : s + least] = [True] * least
+        out[i] = sum(hit)
+    return out
+
+
+def test_shared_parts_against_brute_force(spark):
+    rows = [(i, t) for i, t in texts(8) if t]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.shared_chars for r in spans.shared_parts(df, "doc_id", "text", 40).collect()}
+    assert got == covered(rows, 40) and any(got.values())
+
+
+def test_ruled_lines_and_periods(spark, monkeypatch):
+    monkeypatch.setattr(spans, "HOT_BLOCK", 5)
+    rows = [(1, "a" * 10 + "-" * 90), (2, "b" * 7 + "-" * 45 + "c"), (3, "d-" * 30), (4, "x" + "d-" * 25 + "y"), (5, "-" * 39 + "|"), (6, "e" * 39), (7, "| --- | --- " * 9), (8, "z" + "| --- | --- " * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.id_a, r.id_b) for r in spans.sharing_pairs(df, "doc_id", "text", 40).collect()}
+    assert got == {(a, b) for k, (a, x) in enumerate(rows) for b, y in rows[k + 1 :] if common(x, y) >= 40} == {(1, 2), (3, 4), (7, 8)}
+    assert {r.doc_id: r.shared_chars for r in spans.shared_parts(df, "doc_id", "text", 40).collect()} == covered(rows, 40)
+
+
+def test_a_footer_in_many_texts_makes_no_pairs_in_shared_parts(spark):
+    r = random.Random(5)
+    noise = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    foot = noise(50)
+    df = spark.createDataFrame([(i, noise(60) + foot) for i in range(10_000)], "doc_id long, text string")
+    found = spans._shared_windows(spans._long_texts(spans.keyed(df, "doc_id", "text"), 40), 40).groupBy("sid").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("n")).collect()
+    assert len(found) == 10_000 and all(r.e == 110 and 48 <= r.s <= 60 and r.n < 60 for r in found)  # a few characters before the footer may be equal too
+
+
+def test_probes_are_a_fixed_part_of_the_windows_at_any_size():
+    r = random.Random(6)
+    for n in (20_000, 400_000):
+        t = "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+        rows = sum(len(x[0]) for x in spans.landmark_runs([t], 200, 64))
+        assert n / 80 < rows < n / 55  # 2 of 138
+
+
+def test_long_texts_in_parts(monkeypatch):
+    r = random.Random(7)
+    t = ["".join(r.choice("ab ") for _ in range(n)) for n in (5_000, 0, 30, 1_001)]
+    whole = {x for g in spans.landmark_runs(t, 40, 12) for x in zip(*map(list, g))}
+    monkeypatch.setattr(spans, "PART_CHARS", 100)
+    parts = [x for g in spans.landmark_runs(t, 40, 12) for x in zip(*map(list, g))]
+    at = lambda rows: {(i, s): (h, p) for i, h, p, a, b in rows for s in range(a, b + 1)}
+    assert at(parts) == at(whole) and len(at(whole)) == 5_000 - 39 + 1_001 - 39
+
+
 W = re.compile(r"[^\W_]+")
 
 
