@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zipfile
 from pathlib import Path
@@ -43,21 +44,35 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where it is unset, as in tests, one is chosen here."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session may leave it unset; one is chosen here then."""
     sc = spark.sparkContext
     have = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not have and sc._jsc.sc().getCheckpointDir().isDefined():
         have = sc._jsc.sc().getCheckpointDir().get()
     if not have:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         have = os.path.join(sc._temp_dir, "checkpoints")
         sc.setCheckpointDir(have)
     return have.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one: intermediate tables, of no use after it."""
+    return f"{shared_dir(spark)}/lexforge-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results that still have to read them must be written before."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives the loss of executors. ``release`` deletes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
