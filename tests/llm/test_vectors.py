@@ -1,6 +1,7 @@
 """The forest against brute force: recall, ties, copies, bad vectors."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lexforge.llm import neighbors as V
 
@@ -60,7 +61,8 @@ def test_large_leaves_are_split(spark, monkeypatch):
     members = np.arange(len(x))
     u = V.unit_rows(x)
     got = set()
-    for a, b, _ in V._rank_leaf(members, members, u, members, 1, 0.9, np.random.default_rng(1)):
+    y, rest = V.unpack(V.pack(u), 8)
+    for a, b in V._rank_leaf(members, members, y, rest, members, 1, 0.9, np.random.default_rng(1)):
         got |= set(zip(a.tolist(), b.tolist()))
     assert sum((i, i + 600) in got or (i + 600, i) in got for i in range(600)) >= 580
 
@@ -99,3 +101,39 @@ def test_exact_neighbors_of_all_blocks(spark):
     np.fill_diagonal(sim, -2)
     got = {(r.id, r.neighbor) for r in V.exact_neighbors(df, "id", "vec", "id < '50'", 20, dim=4, k=2).collect()}
     assert got == {(f"{i:02d}", f"{j:02d}") for i in range(50) for j in np.argsort(-sim[i])[:2]}
+
+
+def test_rounding_loses_no_candidate():
+    r = np.random.default_rng(8)
+    u = V.unit_rows(np.concatenate([r.standard_normal((300, 64)), 1 + 0.05 * r.standard_normal((100, 64))]).astype(np.float32))
+    x, rest = V.unpack(V.pack(u).slice(0), 64)
+    assert np.allclose(np.linalg.norm(x - u, axis=1), rest, atol=1e-5) and rest.max() < 2e-4
+    sim, rows = u @ u.T, np.arange(len(u))
+    np.fill_diagonal(sim, -2)
+    for least in (0.0, 0.9):
+        got = {(i, j) for a, b in V._rank_leaf(rows, rows, x, rest, rows, 5, least, r) for i, j in zip(a.tolist(), b.tolist())}
+        want = {(i, j) for i in rows.tolist() for j in np.argsort(-sim[i])[:5].tolist() if sim[i, j] >= least}
+        assert want <= got and len(got) < 7 * len(rows)
+
+
+def test_an_asking_id_counts_among_copies_that_do_not_ask(spark):
+    x = np.random.default_rng(9).standard_normal((40, 4))
+    df = table(spark, [(f"{i:02d}", v) for i, v in enumerate(x)] + [("99", x[3])])
+    for ask in ("03", "99"):
+        got = {r.neighbor for r in V.nearest(df, "id", "vec", dim=4, k=3, asks=F.col("id") == ask).collect()}
+        assert ({"03", "99"} - {ask}) < got and len(got) == 3
+
+
+def test_edges_are_cut_before_copies_come_in(spark):
+    near = [(f"n{i:02d}", [1, 2 + 0.001 * i]) for i in range(1, 40)]
+    df = table(spark, near + [(f"c{i:03d}", [1, 2]) for i in range(400)])
+    got = V.nearest(df, "id", "vec", dim=2)
+    assert got.count() == 5 * 439 and {r.neighbor for r in got.where("id = 'n01'").collect()} == {"n02"} | {f"c{i:03d}" for i in range(4)}
+
+
+def test_look_alikes_stay_linear():
+    r = np.random.default_rng(12)
+    u = V.unit_rows((1 + 1e-6 * r.standard_normal((2_000, 64))).astype(np.float32))
+    x, rest = V.unpack(V.pack(u), 64)
+    rows = np.arange(len(u))
+    assert sum(len(a) for a, _ in V._rank_leaf(rows, rows, x, rest, rows, 5, 0.9, r)) == V.CLOSE * len(rows)
