@@ -29,7 +29,9 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found, "p9_shared": p9_shared}
 _WINDOWS = "SELECT DISTINCT doc_id, substr(text, p + 1, 400) AS w FROM (SELECT doc_id, text, unnest(range(length(text) - 399)) AS p FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 400)"
+_RUNS = "SELECT DISTINCT {0}, array_to_string(w[i + 1 : i + 13], ' ') AS run FROM (SELECT {0}, w, unnest(range(len(w) - 12)) AS i FROM (SELECT {0}, regexp_extract_all(replace(strip_accents(lower(text)), 'đ', 'd'), '[\\p{{L}}\\p{{N}}]+') AS w FROM {1} WHERE {0} IS NOT NULL))"
 SQL: dict[str, str] = {
+    "p7_found": f"SELECT DISTINCT doc_id, eval_id FROM ({_RUNS.format('doc_id', 'documents')}) d JOIN ({_RUNS.format('eval_id', 'eval_items')}) e ON d.run = e.run",
     "p9_found": f"""WITH w AS ({_WINDOWS}), s AS (SELECT * FROM w WHERE w IN (SELECT w FROM w GROUP BY w HAVING count(*) > 1))
         SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.w = b.w AND a.doc_id < b.doc_id""",
     "p9_shared": """

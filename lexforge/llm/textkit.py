@@ -91,28 +91,23 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def shingles(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct runs of n words: (text index, shingle hash) sorted by both, and the number of words of each text."""
-    doc, w = words(texts)
-    n_words = np.bincount(doc, minlength=len(texts))
-    m = len(w) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, U64), n_words
-    s = w[:m].copy()
-    for k in range(1, n):
-        s = mix(s * U64(0x9FB21C651E98DF25) + w[k : k + m])
-    inside = doc[:m] == doc[n - 1 :]
-    d, s = doc[:m][inside], s[inside]
-    order = np.lexsort((s, d)) if len(texts) > 1 else np.argsort(s)
-    d, s = d[order], s[order]
-    keep = np.ones(len(s), dtype=bool)
-    keep[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
-    return d[keep], s[keep], n_words
+    doc, s, _, n_words = shingle_counts(texts, n)
+    return doc, s, n_words
+
+
+def _folded_codes(texts: list[str | None]) -> np.ndarray:
+    """Codes of the texts between separators, without case, marks and compatibility forms; đ is d, a final sigma a sigma."""
+    joined = unicodedata.normalize("NFKD", join_texts(texts)).replace("Σ", "σ").lower().translate(_SAME)
+    c = codes(joined)
+    return c[~mark_chars()[c]]
+
+
+_SAME = {ord("đ"): "d", ord("ł"): "l", ord("ς"): "σ"}
 
 
 def folded(texts: list[str | None]) -> list[str]:
     """Each text as its words between single blanks, without case, marks and compatibility forms; đ is d. Has a blank at either end."""
-    joined = unicodedata.normalize("NFKD", join_texts(texts)).lower().replace("đ", "d").replace("ł", "l")
-    c = codes(joined)
-    c = c[~mark_chars()[c]]
+    c = _folded_codes(texts)
     word, sep = word_chars()[c], c == 0
     blank = ~word & ~sep
     out = np.where(blank, np.uint32(32), c)
@@ -122,24 +117,46 @@ def folded(texts: list[str | None]) -> list[str]:
     return [" " + p.strip(" ") + " " for p in parts]
 
 
-def folded_with_offsets(text: str) -> tuple[str, list[int]]:
-    """As folded() for one text, with the place in the original of every character of the result."""
-    out, at, pending = [" "], [0], False
+def folded_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, word hash) of every word of the folded texts, in order."""
+    c = _folded_codes(texts)
+    doc = np.cumsum(c == 0, dtype=np.int64)
+    is_word = np.concatenate(([False], word_chars()[c], [False]))
+    edge = np.flatnonzero(is_word[1:] != is_word[:-1])
+    start, end = edge[::2], edge[1::2]
+    return doc[start], span_hash(prefix_hash(c), start, end)
+
+
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Where in the original each word of folded_words() for one text begins and ends."""
+    out, open_ = [], False
     words_, marks = word_chars(), mark_chars()
     for i, ch in enumerate(text):
         for x in unicodedata.normalize("NFKD", ch).lower():
             if marks[ord(x)]:
-                continue
-            x = {"đ": "d", "ł": "l"}.get(x, x)
-            if x != SEP and words_[ord(x)]:
-                if pending and len(out) > 1:
-                    out.append(" ")
-                    at.append(i)
-                pending = False
-                out.append(x)
-                at.append(i)
+                if open_:  # a mark belongs to the letter before it
+                    out[-1] = (out[-1][0], i + 1)
+            elif x != SEP and words_[ord(x)]:
+                out.append((i, i + 1)) if not open_ else out.__setitem__(-1, (out[-1][0], i + 1))
+                open_ = True
             else:
-                pending = True
-    out.append(" ")
-    at.append(len(text))
-    return "".join(out), at
+                open_ = False
+    return out
+
+
+def shingle_counts(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As shingles(), with how often each run occurs in its text after the hashes."""
+    doc, w = words(texts)
+    n_words = np.bincount(doc, minlength=len(texts))
+    m = len(w) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64), n_words
+    s = w[:m].copy()
+    for k in range(1, n):
+        s = mix(s * U64(0x9FB21C651E98DF25) + w[k : k + m])
+    inside = doc[:m] == doc[n - 1 :]
+    d, s = doc[:m][inside], s[inside]
+    order = np.lexsort((s, d))
+    d, s = d[order], s[order]
+    first = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (d[1:] != d[:-1])))) if len(s) else np.zeros(0, np.int64)
+    return d[first], s[first], np.diff(np.append(first, len(s))), n_words

@@ -165,6 +165,24 @@ def test_leaks_against_brute_force(spark):
 def test_leaks_in_several_blocks(spark, monkeypatch):
     items = [(i, " ".join(f"w{i}x{k}" for k in range(15))) for i in range(12)]
     docs = spark.createDataFrame([(i, t + " tail") for i, t in items], "doc_id long, text string")
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 150)
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 40)
     got = leakage.find_leaks(docs, spark.createDataFrame(items, "eval_id long, text string"), "doc_id", "text", "eval_id", "text")
     assert {(r.doc_id, r.eval_id) for r in got.collect()} == {(i, i) for i in range(12)}
+
+
+def test_places_of_capital_greek_and_of_marks(spark):
+    words = "ΟΔΟΣ ΝΟΜΟΣ Đường bộ một hai ba".split()
+    text = "mở đầu: " + unicodedata.normalize("NFD", " - ".join(words)) + "... hết"
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    e = spark.createDataFrame([(5, "οδος νομος duong bo mot hai BA")], "eval_id long, text string")
+    (r,) = leakage.find_leaks(d, e, "doc_id", "text", "eval_id", "text", 7).collect()
+    assert text[r.char_start : r.char_end] == unicodedata.normalize("NFD", " - ".join(words)) and r.n_runs == 1
+
+
+def test_many_items_take_one_scan(spark):
+    r = random.Random(3)
+    items = spark.createDataFrame([(i, " ".join(f"w{r.randrange(5000)}" for _ in range(40))) for i in range(20_000)], "eval_id long, text string")  # 5 MB
+    docs = spark.createDataFrame([(1, items.first().text)], "doc_id long, text string")
+    got = leakage.find_leaks(docs, items, "doc_id", "text", "eval_id", "text")
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [(x.doc_id, x.n_runs) for x in got.collect()] == [(1, 28)]
