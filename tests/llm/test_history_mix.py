@@ -129,7 +129,11 @@ def test_mixture(spark):
     d = m.documents().collect()
     assert len({r.doc_id for r in d}) == len(d) and all(r.n_uses <= (1 if r.source == "big" else 3) for r in d)
     assert {r.n_uses for r in d if r.source == "sm_all"} == {3}
-    by = {r.source: r for r in m.shares().collect()}
+    rows = m.shares().collect()
+    by = {r.source: r for r in rows if r.level == "target"}
+    # every level adds up to the one above
+    for level in ("domain", "language", "leaf", "target"):
+        assert sum(r.mixture_tokens for r in rows if r.level == level) == next(r.mixture_tokens for r in rows if r.level == "mixture") > 0
     assert by["gone"].mixture_tokens == 0 and by["gone"].short and abs(sum(r.actual_share for r in by.values()) - 1) < 1e-5
     # the prefix ends within one document of the budget
     longest = max(r.n_tokens for r in d)
@@ -140,14 +144,36 @@ def test_mixture(spark):
 def test_mixture_of_nothing(spark):
     docs = spark.createDataFrame([], DOC)
     m = M.Mixture(docs, spark.createDataFrame([("a", 1.0, 2)], "source string, target_weight double, max_repeats int"))
-    assert m.documents().count() == 0 and m.shares().first().actual_share == 0
-
-
-def test_shortages_go_to_sources_of_the_language_first():
-    tokens, targets = {("a", "vi"): 100, ("b", "vi"): 1000, ("c", "en"): 1000}, {"a": (0.4, 1), "b": (0.3, 1), "c": (0.3, 1)}
-    sources, leaves = M.plan_budgets(tokens, targets, 1000)
-    assert {(x["source"], x["lang"]): x["budget"] for x in leaves} == {("a", "vi"): 100, ("b", "vi"): 600, ("c", "en"): 300}
-    assert {s["source"]: round(s["budget"]) for s in sources} == {"a": 100, "b": 600, "c": 300} and [s["short"] for s in sources] == [True, False, False]
-    # what the language can't take goes to the other one
-    _, leaves = M.plan_budgets(tokens | {("b", "vi"): 200}, targets, 1000)
-    assert {(x["source"], x["lang"]): x["budget"] for x in leaves} == {("a", "vi"): 100, ("b", "vi"): 200, ("c", "en"): 700}
+    assert m.documents().count() == 0 and all(r.actual_share == 0 for r in m.shares().collect())
+
+
+def budgets(tokens, targets, total):
+    return {x.path: round(x.budget) for x in M.plan_tree(tokens, targets, total).walk()}
+
+
+def test_siblings_take_a_shortage_before_uncles():
+    tokens = {("law", "vi", "a"): 100, ("law", "vi", "b"): 1000, ("law", "en", "c"): 1000, ("news", "vi", "d"): 1000}
+    targets = {"a": (0.4, 1), "b": (0.2, 1), "c": (0.2, 1), "d": (0.2, 1)}
+    got = budgets(tokens, targets, 1000)
+    assert got[("law", "vi", "a")] == 100 and got[("law", "vi", "b")] == 500  # the language's other source takes it all
+    assert got[("law", "en", "c")] == got[("news", "vi", "d")] == 200
+    # a language that is full hands on to the domain's other language, not to the other domain
+    got = budgets(tokens | {("law", "vi", "b"): 300}, targets, 1000)
+    assert (got[("law", "vi")], got[("law", "en", "c")], got[("news",)]) == (400, 400, 200)
+    # a domain that is full hands on to the other domain
+    got = budgets(tokens | {("law", "vi", "b"): 300, ("law", "en", "c"): 250}, targets, 1000)
+    assert (got[("law",)], got[("news", "vi", "d")], got[()]) == (650, 350, 1000)
+    rows = {s["source"]: s["short"] for s in M.source_rows(M.plan_tree(tokens, targets, 1000), targets, 1000)}
+    assert rows == {"a": True, "b": False, "c": False, "d": False}
+
+
+def test_tokens_of_pieces_are_those_of_the_text(monkeypatch):
+    import random
+
+    r = random.Random(1)
+    text = "".join(r.choice(["xe", "Tải ", " ", "\n", "12", ",", "  ", "đường", "'s", " - "]) for _ in range(3000))
+    e = M._encoder(M.TOKENIZER)
+    monkeypatch.setattr(M, "PIECE", 50)
+    parts = list(M.token_pieces(text))
+    assert "".join(parts) == text and len(parts) > 50 and [t for p in parts for t in e.encode_ordinary(p)] == e.encode_ordinary(text)
+    assert list(M.token_pieces("a" * 500)) == ["a" * 500] and list(M.token_pieces("")) == [""]
