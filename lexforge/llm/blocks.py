@@ -12,7 +12,8 @@ from lexforge.session import materialize
 
 #: Characters handled at once in a Python worker; keeps its arrays in the tens of megabytes.
 BATCH_CHARS = 400_000
-#: A class of exact copies up to this size is expanded into all its pairs; a larger one is linked to its first member only.
+#: A class of exact copies up to this size is expanded into all its pairs (half a million); of a larger one the members are linked to the first
+#: and the first to other texts, and the tables of members (p6_classes, p9_copies) hold the rest. So the rows stay in proportion to the input.
 EXPAND_COPIES = 1_000
 
 
@@ -88,6 +89,12 @@ def one_of_each(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.where(~may).select(key, value).unionByName(some)
 
 
+def copies_of(ids: DataFrame, id_col: str) -> DataFrame:
+    """One row for each id of ``ids`` (id, sid): the smallest id of equal text and the number of others."""
+    m = ids.distinct()
+    return m.join(m.groupBy("sid").agg(F.min("id").alias("copy_id"), (F.count("*") - 1).alias("n_copies")), "sid").select(F.col("id").alias(id_col), "copy_id", "n_copies")
+
+
 def expand_classes(links: DataFrame, members: DataFrame, limit: int = EXPAND_COPIES) -> DataFrame:
     """Pairs (id_a, id_b) of ids out of links (sid_a, sid_b) between classes of equal texts and the pairs within a class.
 

@@ -1,9 +1,10 @@
 """Near-duplicate texts by DartMinHash signatures, banded joining and an exact check.
 
-Each text is a weighted set of word shingles. Darts are thrown by a hash into unit cells of (weight, rank) above every
-element, so an element of weight w keeps the darts that fall under w; each dart belongs to one of k coordinates and the
-earliest dart of each coordinate is kept. Work is in proportion to elements + k log k, not their product. The chance that
-two sets keep the same dart equals their (weighted) Jaccard similarity.
+Each text is a weighted set of word shingles. Darts are thrown by a hash into cells of (weight, rank) above every
+element, all of area one, so an element of weight w keeps the darts that fall under w; each dart belongs to one of k coordinates
+and the earliest dart of each coordinate is kept. Cells are flat and long near weight zero and tall and short far above, so work
+is in proportion to elements + k log k for weights of any size. The chance that two sets keep the same dart equals their
+(weighted) Jaccard similarity.
 
 Defined cases: null and empty texts and texts below ``min_words`` have no links; repeated rows of an id count once; equal
 texts form one class (see blocks.expand_classes) and linked classes one group (near_groups); extra columns are ignored; an empty table gives no rows.
@@ -31,8 +32,43 @@ SKETCH_LEAST = 12
 BUCKET_BLOCK = 2_000
 
 
+#: Weight bands below the first that may be empty are thrown at down to 2 ** -FAINT of a dart.
+FAINT = 8
+
+
+def _unit_darts(e: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(element, dart, rank) of elements of weight one: one dart in each cell of rank 1."""
+    cells = high - low
+    at = np.repeat(np.arange(len(e)), cells)
+    rank = np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells) + low[at]
+    dart = K.mix(e[at] + rank.astype(U64) * U64(0x9E3779B97F4A7C15))
+    # the rank decides: its whole part, then 40 random bits
+    return at, dart, (np.minimum(rank, (1 << 24) - 1).astype(U64) << U64(40)) | (dart >> U64(24))
+
+
+def _area_darts(e: np.ndarray, w: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(element, dart, rank) under any weights: band b holds the weights from 2**b to 2**(b+1), its cells are 2**-b ranks long."""
+    top = np.floor(np.log2(w)).astype(np.int64)
+    bottom = np.minimum(top, -np.ceil(np.log2(np.maximum(high, 1))).astype(np.int64) - FAINT)
+    n = top - bottom + 1
+    el = np.repeat(np.arange(len(e)), n)
+    band = np.arange(len(el)) - np.repeat(np.cumsum(n) - n, n) + bottom[el]
+    tall = np.exp2(band)
+    first, last = np.floor(low[el] * tall).astype(np.int64), np.ceil(high[el] * tall).astype(np.int64)
+    cells = last - first
+    at = np.repeat(np.arange(len(el)), cells)
+    cell = np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells) + first[at]
+    el, tall, band = el[at], tall[at], band[at]
+    dart = K.mix(K.mix(e[el] + cell.astype(U64) * U64(0x9E3779B97F4A7C15)) + band.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+    share = lambda salt: (K.mix(dart ^ U64(salt)) >> U64(11)).astype(np.float64) / 2.0**53
+    rank = (cell + share(0x5A5A5A5A)) / tall
+    keep = (tall * (1 + share(0xA5A5A5A5)) < w[el]) & (rank >= low[el]) & (rank < high[el])
+    el, dart, rank = el[keep], dart[keep], rank[keep]
+    return el, dart, np.minimum(rank * 2.0**40, 2.0**63).astype(U64)
+
+
 def dart_signatures(doc: np.ndarray, elem: np.ndarray, weight: np.ndarray | None, n_docs: int, k: int = COORDS, seed: int = 1) -> np.ndarray:
-    """[n_docs, k] earliest darts; ``doc`` is sorted. Rows of texts without elements hold the largest number only."""
+    """[n_docs, k] earliest darts; ``doc`` is sorted. Rows of texts without elements hold the largest number only. Without weights all are one."""
     none = np.iinfo(U64).max
     out = np.full((n_docs, k), none, dtype=U64)
     w = np.ones(len(doc)) if weight is None else np.asarray(weight, dtype=np.float64)
@@ -46,37 +82,26 @@ def dart_signatures(doc: np.ndarray, elem: np.ndarray, weight: np.ndarray | None
     flat = out.reshape(-1)
     while alive.any():
         use = alive[doc]
-        d, e, x = doc[use], K.mix(elem[use] ^ U64(seed)), w[use]
-        tall = np.ceil(x).astype(np.int64)  # unit cells along the weight axis
-        ranks = (bound - low)[d]
-        cells = tall * ranks
-        at = np.repeat(np.arange(len(d)), cells)
-        within = np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells)
-        di = d[at]
-        if weight is None:
-            level, rank = None, within + low[di]
-            dart = K.mix(e[at] + rank.astype(U64) * U64(0x9E3779B97F4A7C15))
-        else:
-            level, rank = np.divmod(within, ranks[at])
-            rank = rank + low[di]
-            dart = K.mix(e[at] + rank.astype(U64) * U64(0x9E3779B97F4A7C15) + level.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-            under = level + (K.mix(dart ^ U64(0xA5A5A5A5)) >> U64(11)).astype(np.float64) / 2.0**53 < x[at]
-            di, dart, rank = di[under], dart[under], rank[under]
+        d, e = doc[use], K.mix(elem[use] ^ U64(seed))
+        at, dart, value = _unit_darts(e, low[d], bound[d]) if weight is None else _area_darts(e, w[use], low[d], bound[d])
         coord = ((dart & U64(0xFFFFFFFF)) * U64(k)) >> U64(32)
-        # the rank decides: its whole part, then 40 random bits
-        value = (np.minimum(rank, (1 << 24) - 1).astype(U64) << U64(40)) | (dart >> U64(24))
-        np.minimum.at(flat, di * k + coord.astype(np.int64), value)
+        np.minimum.at(flat, d[at] * k + coord.astype(np.int64), value)
         alive = alive & (out == none).any(axis=1)
         low, bound = bound, bound * 2
     return out
 
 
-def signatures(texts: list[str | None], n: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+def count_weight(times: np.ndarray) -> np.ndarray:
+    """The weight of a run of words by how often its text has it."""
+    return 1 + np.log(times)
+
+
+def signatures(texts: list[str | None], n: int, min_words: int, weighted: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the texts that take part, and their signatures."""
-    doc, sh, n_words = K.shingles(texts, n)
+    doc, sh, times, n_words = K.shingle_counts(texts, n)
     ok = (n_words >= min_words) & (np.bincount(doc, minlength=len(texts)) > 0)
     use = ok[doc]
-    return np.flatnonzero(ok), dart_signatures(doc[use], sh[use], None, len(texts))[ok]
+    return np.flatnonzero(ok), dart_signatures(doc[use], sh[use], count_weight(times[use]) if weighted else None, len(texts))[ok]
 
 
 def pack_sketch(sig: np.ndarray) -> np.ndarray:
@@ -92,7 +117,7 @@ def sketch_agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 32 - np.bitwise_count(x & U64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
 
 
-def band_rows(n: int, min_words: int):
+def band_rows(n: int, min_words: int, weighted: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = K.mix(np.arange(1, BANDS + 1, dtype=U64))
         for rb in batches:
@@ -101,7 +126,7 @@ def band_rows(n: int, min_words: int):
             first[np.unique(sids, return_index=True)[1]] = True
             texts = [t if f else None for t, f in zip(texts, first)]
             for lo, hi in by_chars(texts):
-                which, sig = signatures(texts[lo:hi], n, min_words)
+                which, sig = signatures(texts[lo:hi], n, min_words, weighted)
                 if not len(which):
                     continue
                 key = np.zeros((len(which), BANDS), dtype=U64)
@@ -235,21 +260,23 @@ def _hot_pairs(hot: DataFrame, least: int, block_size: int) -> DataFrame:
     return r.groupBy("bucket", "i", "j").applyInArrow(block_pairs(least), "x long, y long").select("x", "y")
 
 
-def verify_pairs(n: int, threshold: float, min_words: int):
-    """Exact Jaccard similarity of the distinct shingles of both texts."""
+def verify_pairs(n: int, threshold: float, min_words: int, weighted: bool = False):
+    """Exact Jaccard similarity of the distinct shingles of both texts, or with ``weighted`` the sum of their lesser over that of their greater weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             ta, tb = rb.column("text_a").to_pylist(), rb.column("text_b").to_pylist()
             for lo, hi in by_chars([a + b for a, b in zip(ta, tb)]):
                 m = hi - lo
-                doc, sh, n_words = K.shingles(ta[lo:hi] + tb[lo:hi], n)
-                size = np.bincount(doc, minlength=2 * m)
+                doc, sh, times, n_words = K.shingle_counts(ta[lo:hi] + tb[lo:hi], n)
+                w = count_weight(times) if weighted else np.ones(len(doc))
+                size = np.bincount(doc, w, minlength=2 * m)
                 pair = doc % m
                 order = np.lexsort((sh, pair))
-                s, p = sh[order], pair[order]
-                both = np.bincount(p[1:][(s[1:] == s[:-1]) & (p[1:] == p[:-1])], minlength=m)
-                sim = both / np.maximum(1, size[:m] + size[m:] - both)
+                s, p, w = sh[order], pair[order], w[order]
+                same = (s[1:] == s[:-1]) & (p[1:] == p[:-1])
+                both = np.bincount(p[1:][same], np.minimum(w[1:], w[:-1])[same], minlength=m)
+                sim = both / np.maximum(1e-9, size[:m] + size[m:] - both)
                 ok = np.flatnonzero((sim >= threshold - 1e-12) & (n_words[:m] >= min_words) & (n_words[m:] >= min_words))
                 yield pa.RecordBatch.from_arrays(
                     [rb.column("sid_a").slice(lo, m).take(pa.array(ok)), rb.column("sid_b").slice(lo, m).take(pa.array(ok)), pa.array(sim[ok])],
@@ -259,11 +286,14 @@ def verify_pairs(n: int, threshold: float, min_words: int):
     return run
 
 
-def near_links(texts: DataFrame, n: int = 5, threshold: float = 0.8, min_words: int = 0, block_size: int = BUCKET_BLOCK) -> DataFrame:
-    """Links (sid_a, sid_b, similarity) between different texts of ``texts`` (sid, text) whose shingle similarity reaches the threshold (0.6 at least)."""
+def near_links(texts: DataFrame, n: int = 5, threshold: float = 0.8, min_words: int = 0, block_size: int = BUCKET_BLOCK, weighted: bool = False) -> DataFrame:
+    """Links (sid_a, sid_b, similarity) between different texts of ``texts`` (sid, text) whose shingle similarity reaches the threshold (0.6 at least).
+
+    With ``weighted`` a run of words weighs one and the logarithm of how often the text has it.
+    """
     ship_package(texts.sparkSession)
     long_enough = texts.where(F.col("text").isNotNull() & (F.length("text") >= 2 * min_words - 1))
-    bands = long_enough.mapInArrow(band_rows(n, min_words), "bucket long, sid long, s0 long, s1 long")
+    bands = long_enough.mapInArrow(band_rows(n, min_words, weighted), "bucket long, sid long, s0 long, s1 long")
     found = materialize(
         bands.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(bucket_pairs(SKETCH_LEAST, block_size), "kind int, x long, y long, s0 long, s1 long"),
         "near-candidates",
@@ -278,7 +308,7 @@ def near_links(texts: DataFrame, n: int = 5, threshold: float = 0.8, min_words:
     part = keep_known(long_enough, "sid", ids, "sid", 2 * count).groupBy("sid").agg(F.first("text").alias("text"))
     a = part.select(F.col("sid").alias("sid_a"), F.col("text").alias("text_a"))
     b = part.select(F.col("sid").alias("sid_b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "sid_a").join(b, "sid_b").mapInArrow(verify_pairs(n, threshold, min_words), "sid_a long, sid_b long, similarity double")
+    return pairs.join(a, "sid_a").join(b, "sid_b").mapInArrow(verify_pairs(n, threshold, min_words, weighted), "sid_a long, sid_b long, similarity double")
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -314,6 +344,15 @@ def _long_classes(rows: DataFrame, repeated: DataFrame, min_words: int) -> DataF
     return one.join(repeated, "sid", "left_semi").where(long_enough("text")).select("sid")
 
 
+def weighted_links(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(id_a, id_b, similarity) between the first ids of different texts whose weighted shingle similarity reaches the threshold; copies are members of their first id's class (near_groups)."""
+    rows = keyed(df, id_col, text_col).where("id is not null and text is not null")
+    links = materialize(near_links(rows.select("sid", "text"), n, threshold, weighted=True), "near-links")
+    first = rows.groupBy("sid").agg(F.min("id").alias("id"))
+    a, b = first.select(F.col("sid").alias("sid_a"), F.col("id").alias("x")), first.select(F.col("sid").alias("sid_b"), F.col("id").alias("y"))
+    return links.join(a, "sid_a").join(b, "sid_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), F.round("similarity", 6).alias("similarity"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(sid, root) of every sid in ``links`` (sid_a, sid_b): root is the smallest sid that can be reached from it.
 

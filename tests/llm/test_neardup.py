@@ -144,3 +144,39 @@ def test_words_match_the_pattern():
         assert (doc == i).sum() == len(W.findall(unicodedata.normalize("NFC", (t or "").replace("\x00", " ")).lower()))
     same = K.words([texts[3]])[1]
     assert list(same) == list(K.words(["đường bộ"])[1])
+
+
+def test_darts_cost_by_area_at_any_weight():
+    e, low = np.arange(1000, dtype=np.uint64), np.zeros(1000, dtype=np.int64)
+    made = {}
+    for weight in (1e-4, 1e-3, 0.3, 1.0, 40.0):
+        high = np.full(1000, max(1, int(np.ceil(1300 / (1000 * weight)))))
+        made[weight] = len(N._area_darts(e, np.full(1000, weight), low, high)[0])
+        area = 1000 * weight * high[0]
+        assert 0.9 * area - 50 < made[weight] < 1.1 * area + 50  # darts as the area, however it is cut
+    sig = [N.dart_signatures(np.repeat([0, 1], 1000), np.concatenate([e, e + np.uint64(200)]), np.full(2000, w), 2, k=2000) for w in (1e-3, 0.3, 7.5)]
+    for s in sig:
+        assert abs((s[0] == s[1]).mean() - 800 / 1200) < 0.05
+
+
+def test_weighted_links_against_brute_force(spark):
+    rows = [(a, b + " " + " ".join(b.split()[:9] * (i % 3))) for i, (a, b) in enumerate(corpus(11, 20))] + [("copy", corpus(11, 20)[0][1] + " ")]
+    w = {}
+    for k, t in rows:
+        x = W.findall(unicodedata.normalize("NFC", t).lower())
+        n = {}
+        for s in zip(*(x[i:] for i in range(5))):
+            n[s] = n.get(s, 0) + 1
+        w[k] = {s: 1 + np.log(c) for s, c in n.items()}
+    want, first = {}, {}
+    for k, t in sorted(rows, reverse=True):
+        first[t] = k
+    for a in first.values():
+        for b in first.values():
+            if a < b:
+                keys = w[a].keys() | w[b].keys()
+                lo, hi = (sum(f(w[a].get(s, 0), w[b].get(s, 0)) for s in keys) for f in (min, max))
+                if lo >= 0.8 * hi - 1e-9:
+                    want[a, b] = round(lo / hi, 6)
+    got = {(r.id_a, r.id_b): r.similarity for r in N.weighted_links(spark.createDataFrame(rows, "id string, text string"), "id", "text").collect()}
+    assert got.keys() == want.keys() and want and all(abs(got[p] - want[p]) < 2e-6 for p in want)
