@@ -185,6 +185,7 @@ FEATURES = (
     "closed", "depth", "siblings", "place", "subtree_nodes", "subtree_density", "attributes", "layout_token", "content_token", "tag_group", "alike", "operators",
     "parent_construct", "link_density", "parent_group",
 )
+_DIGIT, _LETTER = re.compile(r"\d"), re.compile(r"[^\W\d_]")
 _OPERATOR = re.compile(r"[\\^_={}+]|\\[a-z]")
 
 
@@ -225,10 +226,10 @@ def features(trees: list[Tree]) -> np.ndarray:
                     layout, content = _LAYOUT.search(head) is not None, _CONTENT.search(head) is not None
             span = e - s
             rows.append((
-                k, min(o - s, 400), min(inner.count(" ") + 1 if inner else 0, 60), any(c.isdigit() for c in head[:40]), any(c.isalpha() for c in head[:40]),
+                k, min(o - s, 400), min(inner.count(" ") + 1 if inner else 0, 60), _DIGIT.search(head) is not None, _LETTER.search(head) is not None,
                 inner[:1].isspace(), inner[-1:].isspace(), s == 0 or text[s - 1] == "\n", o >= total or text[o] == "\n", before, after,
                 t.close[i] is not None, min(depth[i], 12), min(children[p] if p >= 0 else roots, 60), min(place[i], 60), min(size[i], 200), min(span / size[i], 2000.0), attrs, layout, content,
-                _GROUP.get(t.name[i], 7) if t.name[i] else 0, min(alike[k], 30), len(_OPERATOR.findall(head[:200])) if not is_tag else 0,
+                _GROUP.get(t.name[i], 7) if t.name[i] else 0, min(alike[k], 30), len(_OPERATOR.findall(head)) if not is_tag else 0,
                 t.kind[p] if p >= 0 else -1, links[i] / span if span else 0, _GROUP.get(t.name[p], 7) if p >= 0 and t.name[p] else 0,
             ))
     return np.array(rows, dtype=np.float32).reshape(-1, len(FEATURES))

@@ -69,9 +69,10 @@ class _Maker:
     def latex(self) -> tuple[str, bool]:
         r, w, k = self.r, self.words(1, 4), self.number()
         f = r.choice([r"v \le %d" % k, r"a^2 + b^2 = c^2", r"\frac{v^2}{2 \cdot %d}" % k, r"x_{1} = %d" % k, r"\alpha", "v_0 t", "S = v t", "x", r"\sum_{i=1}^{n} x_i"])
+        env = r.choice(["equation", "align*", "gather"])
         return r.choice([
             (f"${f}$", False), (f"$$ {f} $$", False), (f"\\[ S = {f} \\]", False), (f"\\( {f} \\)", False), (f"\\{r.choice(['section', 'subsection', 'paragraph*', 'chapter'])}{{{w}}}", True), (f"\\{r.choice(['textbf', 'emph', 'textit', 'underline'])}{{{w}}}", False),
-            (f"\\footnote{{{w}.}}", False), (f"\\begin{{itemize}}\n\\item {w}\n\\item {self.words()}\n\\end{{itemize}}", True), (f"\\begin{{tabular}}{{ll}}\nA & {k} \\\\\nB & 2 \\\\\n\\end{{tabular}}", True), (f"\\ref{{{r.choice(_SYLLABLES)}:{k}}}", False), (f"\\cite{{a{k}}}", False), ("\\LaTeX", False),
+            (f"\\footnote{{{w}.}}", False), (f"\\begin{{itemize}}\n\\item {w}\n\\item {self.words()}\n\\end{{itemize}}", True), (f"\\begin{{tabular}}{{ll}}\nA & {k} \\\\\nB & 2 \\\\\n\\end{{tabular}}", True), (f"\\begin{{{env}}}\n{f}\n\\end{{{env}}}", True), (f"\\begin{{verbatim}}\n{w} {k}\n\\end{{verbatim}}", True), (f"\\section{{\\textbf{{{w}}}}}", True), (f"\\ref{{{r.choice(_SYLLABLES)}:{k}}}", False), (f"\\cite{{a{k}}}", False), ("\\LaTeX", False),
         ])
 
     def plain(self) -> tuple[str, bool]:

@@ -102,3 +102,33 @@ def test_oversized_items(spark):
     got = splitting.split_items(splitting.oversized_items(df)).distinct().collect()
     assert {(r.id, r.item) for r in got} == {("1", "original_text"), ("1", "Điều")}
     assert all(len(r.piece) <= r.limit_chars for r in got)
+
+
+def cleaned(text):
+    return markup._clean_all([text], markup.models())[0]
+
+
+def test_clean_keeps_formulas():
+    got = cleaned("Công thức sau.\n\\begin{equation} v = \\frac{a^2}{2 b} + \\alpha \\end{equation}\nHết đoạn này.")
+    assert "v = \\frac{a^2}{2 b} + \\alpha" in got and "equation" not in got and got.startswith("Công thức") and got.endswith("Hết đoạn này.")
+    assert "x &= 1 \\\\" in cleaned("Cho hệ:\n\\begin{align*}\nx &= 1 \\\\\ny &= 2\n\\end{align*}\n")
+    got = cleaned("<p>Diện tích <math><mi>S</mi><mo>=</mo><mfrac><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow><mn>2</mn></mfrac><msup><mi>h</mi><mn>2</mn></msup></math> là</p>")
+    assert got == "Diện tích $S = \\frac{a + b}{2} h^2$ là"
+    assert cleaned("Tốc độ $v = \\frac{s}{t}$ là") == "Tốc độ $v = \\frac{s}{t}$ là"
+
+
+def test_clean_keeps_code():
+    assert cleaned("<p>Thẻ <code>&lt;b&gt;x&lt;/b&gt;</code> in đậm và &lt;i&gt;nghiêng&lt;/i&gt;</p>") == "Thẻ <b>x</b> in đậm và nghiêng"
+    got = cleaned("Mẫu:\n\\begin{verbatim}\n\\section{A} **x** &lt;b&gt;\n\\end{verbatim}\nsau đó &lt;p&gt;hết&lt;/p&gt;")
+    assert "```\n\\section{A} **x** &lt;b&gt;\n```" in got and "<p>" not in got and got.endswith("hết")
+    assert "```\nif (a < b) {\n    c();\n}\n```" in cleaned("<div><pre><code>if (a &lt; b) {\n    c();\n}</code></pre></div>")
+    assert "\ue000" in cleaned("ký tự \ue0007\ue001 có sẵn <b>đậm</b>")
+
+
+def test_clean_keeps_structure():
+    assert cleaned("* xe tải\n* xe khách\n\n**Lưu ý:** đi chậm").startswith("- xe tải\n- xe khách")
+    assert cleaned("> **Trích** lời nói\n> tiếp theo") == "Trích lời nói\ntiếp theo"
+    assert cleaned("\\section{\\textbf{Quy định}}\nNội dung ở đây.") == "## Quy định\nNội dung ở đây."
+    assert cleaned("Chương một\n=====\n\nNội dung **đậm** ở đây.").startswith("# Chương một\n")
+    assert cleaned("<ol><li>một</li><li>hai<ul><li>con</li></ul></li><li>ba</li></ol>") == "1. một\n2. hai\n\n- con\n\n3. ba"
+    assert "dài 5 km" in cleaned("Đoạn '''dài''' {{convert|5|km}} [[đường|qua]] cầu").replace("  ", " ")
