@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lexforge.functions.text import SPACE
 
-#: Heading word with its number, in the order of the rewrites, and the Markdown level.
+#: Heading word with its number, in the order of the rewrites, and the Markdown level. Word and pattern are apart because two
+#: engines use them (Spark and, in the tests, DuckDB) and blanks are those of Unicode in both.
 HEADINGS = (
     (rf"Phần{SPACE}+[IVXLCDM0-9]+", "#"),
     (rf"Chương{SPACE}+[IVXLCDM0-9]+", "##"),

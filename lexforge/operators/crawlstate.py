@@ -45,9 +45,9 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def retry_rounds(failed: DataFrame, key: str, succeeds, rounds: int = 3) -> DataFrame:
-    """(key, resolved_round): at most ``rounds`` passes over what is left; null where none succeeded. ``succeeds(round)`` is a condition."""
+    """(key, resolved_round): at most ``rounds`` passes over what is left; null where none succeeded. ``succeeds(round)`` is a condition on the failed row, one of each key."""
     done = F.coalesce(*[F.when(succeeds(r), F.lit(r)) for r in range(1, rounds + 1)])
-    return failed.select(key).distinct().withColumn("resolved_round", done)
+    return failed.dropDuplicates([key]).select(key, done.alias("resolved_round"))
 
 
 def number_rows(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:

@@ -8,7 +8,7 @@ parsed on its own. Strings that spell a list, an object or a string in turn are
 of the next round, with the container that holds them as their parent.
 
 Defined cases: null, blank, cut-off and otherwise invalid texts have no containers; invalid JSON within a string is a plain
-string; of repeated keys in one object the last counts; repeated rows give repeated rows, distinct in the queries; an empty
+string; numbers beyond 64 bits are no ids; of repeated keys in one object the last counts; repeated rows give repeated rows, distinct in the queries; an empty
 column gives no containers.
 """
 
@@ -332,19 +332,20 @@ def byte_batches(texts: pa.Array, limit: int = BATCH_BYTES):
         yield start, len(n)
 
 
-#: Keys that only wrap lists of objects: they don't name what the objects are.
-WRAPPERS = r"^(?:items|data|k[0-9]+)$"
-
-
 def _entities(c: Containers) -> pa.Array:
-    """What each container is: the nearest key at or above it that isn't a mere wrapper."""
-    wrap = pc.fill_null(pc.match_substring_regex(c.key, WRAPPERS), True).to_numpy(zero_copy_only=False).astype(bool)
-    at = np.arange(len(c.row))
+    """What each container is: the nearest key at or above it. The only key of an object says nothing if there is one above: it just wraps."""
+    keyed = c.key.is_valid().to_numpy(zero_copy_only=False)
+    members = np.bincount(c.holder, minlength=len(c.row)) if len(c.row) else np.zeros(0, np.int64)
+    alone = keyed & (c.parent >= 0) & (members[np.maximum(c.parent, 0)] == 1) if len(c.row) else keyed
+    at, own = np.arange(len(c.row)), np.full(len(c.row), -1)
     while True:
-        go = (at >= 0) & wrap[np.maximum(at, 0)] if len(at) else np.zeros(0, dtype=bool)
+        here = at >= 0
+        some = here & keyed[np.maximum(at, 0)] if len(at) else here
+        own = np.where(some, at, own)
+        go = here & (~keyed | alone)[np.maximum(at, 0)] if len(at) else here
         if not go.any():
-            return c.key.take(pa.array(at, mask=at < 0))
-        at[go] = c.parent[at[go]]
+            return c.key.take(pa.array(own, mask=own < 0))
+        at = np.where(go, c.parent[np.maximum(at, 0)], -1)
 
 
 def _numbers_in_row(row: np.ndarray) -> np.ndarray:
@@ -357,11 +358,16 @@ def _numbers_in_row(row: np.ndarray) -> np.ndarray:
 
 
 def _node_ids(c: Containers, id_key: str) -> tuple[np.ndarray, np.ndarray]:
-    """The number under ``id_key`` of each container, and whether it has one; numbers in quotes count."""
-    hit = pc.fill_null(pc.and_(pc.equal(c.name, id_key), pc.fill_null(pc.match_substring_regex(c.value, r"^-?[0-9]{1,18}$"), False)), False)
+    """The number under ``id_key`` of each container, and whether it has one: any whole number of 64 bits, in quotes too."""
+    hit = pc.fill_null(pc.and_(pc.equal(c.name, id_key), pc.fill_null(pc.match_substring_regex(c.value, r"^-?0*[0-9]{1,19}$"), False)), False)
     i = np.flatnonzero(hit.to_numpy(zero_copy_only=False)) if len(c.name) else np.zeros(0, np.int64)
+    text = pc.replace_substring_regex(c.value.take(pa.array(i)), r"^(-?)0+([0-9])", r"\1\2")
+    long_ = pc.fill_null(pc.greater(pc.binary_length(text), 18), False).to_numpy(zero_copy_only=False).astype(bool)
+    fits = np.ones(len(i), dtype=bool)
+    fits[long_] = [-(1 << 63) <= int(t) < 1 << 63 for t in text.filter(pa.array(long_)).to_pylist()]
+    i, text = i[fits], text.filter(pa.array(fits))
     ids, own = np.zeros(len(c.row), dtype=np.int64), np.zeros(len(c.row), dtype=bool)
-    ids[c.holder[i]] = c.value.take(pa.array(i)).cast(pa.int64()).to_numpy(zero_copy_only=False)
+    ids[c.holder[i]] = text.cast(pa.int64()).to_numpy(zero_copy_only=False)
     own[c.holder[i]] = True
     return ids, own
 

@@ -32,7 +32,7 @@ def search_context(queries: DataFrame, chunk_vectors: DataFrame, rows: DataFrame
 
 
 def context_block():
-    """One numbered block of a prompt."""
+    """One numbered block of a prompt. Its labels."""
     part = lambda name: F.coalesce(F.col(name), F.lit(""))
     return F.concat(
         F.lit("TÀI LIỆU "), F.col("rank").cast("string"), F.lit(":\n- Văn bản: "), part("doc_info"), F.lit("\n- Hiệu lực: "), part("effective_date"),

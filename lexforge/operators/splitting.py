@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexforge.schemas import LEVELS
 
+#: Greatest size, overlap and separators of the size split, coarsest first.
 SIZE, OVERLAP, SEPARATORS = 1500, 150, ("\n\n", "\n", ".", " ", "")
 
 

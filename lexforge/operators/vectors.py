@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +34,51 @@ def _good(x: np.ndarray) -> np.ndarray:
     return np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
 
 
+#: Queries and rows that are multiplied at once: 16 MB of similarities.
+QUERY_ROWS, CORPUS_ROWS = 512, 4_096
+
+
+class _Best:
+    """The k best rows of each query so far, all that tie with the k-th included: what a task gives is bounded by its queries unless rows tie."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor, self.held, self.size = k, np.full(n, -np.inf), [], 0
+
+    def add(self, a: int, sim: np.ndarray, ids: pa.Array) -> None:
+        m = sim.shape[1] - min(self.k, sim.shape[1])
+        own = np.partition(sim, m, axis=1)[:, m] if sim.shape[1] >= self.k else np.full(len(sim), -np.inf)
+        self.floor[a : a + len(sim)] = np.maximum(self.floor[a : a + len(sim)], own)
+        r, j = np.nonzero(sim >= self.floor[a : a + len(sim), None])
+        self.held.append((r + a, sim[r, j], ids.take(pa.array(j))))
+        self.size += len(r)
+        if self.size > 4 * self.k * len(self.floor) + 100_000:
+            self.shrink()
+
+    def shrink(self) -> None:
+        """Of equal similarities only the k smallest ids can count."""
+        if not self.held:
+            return
+        r, sim = (np.concatenate([h[i] for h in self.held]) for i in (0, 1))
+        ids = pa.chunked_array([h[2] for h in self.held]).combine_chunks()
+        keep = sim >= self.floor[r]
+        r, sim, ids = r[keep], sim[keep], ids.filter(pa.array(keep))
+        order = pc.sort_indices(pa.table({"r": r, "s": -sim, "i": ids}), sort_keys=[("r", "ascending"), ("s", "ascending"), ("i", "ascending")]).to_numpy()
+        r, sim, ids = r[order], sim[order], ids.take(pa.array(order))
+        first = np.arange(len(r)) - np.searchsorted(r, r) < self.k
+        self.held, self.size = [(r[first], sim[first], ids.filter(pa.array(first)))], int(first.sum())
+
+    def batches(self, names: pa.Array) -> Iterator[pa.RecordBatch]:
+        self.shrink()
+        for r, sim, ids in self.held:
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(r)), ids, pa.array(sim)], names=["query_id", "id", "similarity"])
+
+
 def search(queries: DataFrame, corpus: DataFrame, k: int = 3, dim: int = 64, most_queries: int = 20_000) -> DataFrame:
     """(query_id, id, similarity, rank): the k best of ``corpus`` (id, vec) for each of ``queries`` (query_id, vec).
 
     The queries are broadcast in blocks of about ``most_queries`` (10 MB at 64 numbers). The corpus is read once for each
-    block and never shuffled: every Arrow batch is multiplied with the block and only its own k best of each query go on.
-    Similarities are rounded to 6 places; among equal ones the smaller id comes first.
+    block and never shuffled: a task multiplies parts of QUERY_ROWS queries with parts of its rows, keeps the k best of each
+    query so far, and gives those at its end. Similarities are rounded to 6 places; among equal ones the smaller id comes first.
     """
     spark = corpus.sparkSession
     ship_package(spark)
@@ -53,22 +93,20 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 3, dim: int = 64, mos
         m = _matrix(part.column("vec").combine_chunks(), dim) if len(part) else np.zeros((0, dim))
         good = _good(m)
         m = m[good]
-        held = spark.sparkContext.broadcast((part.column("query_id").combine_chunks().filter(pa.array(good)) if len(part) else None, m, np.sqrt((m * m).sum(axis=1))))
+        held = spark.sparkContext.broadcast((part.column("query_id").combine_chunks().filter(pa.array(good)) if len(part) else None, m / np.sqrt((m * m).sum(axis=1))[:, None] if len(m) else m))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            names, x, nx = held.value
+            names, x = held.value
+            best = _Best(len(x), k)
             for rb in batches:
-                if names is None or not rb.num_rows:
-                    continue
                 y = _matrix(rb.column("vec"), dim)
                 good = _good(y)
                 y, ids = y[good], rb.column("id").filter(pa.array(good))
-                if not len(y) or not len(x):
-                    continue
-                sim = np.round((x @ y.T) / (nx[:, None] * np.sqrt((y * y).sum(axis=1))[None, :]), 6)
-                least = np.partition(sim, len(y) - min(k, len(y)), axis=1)[:, len(y) - min(k, len(y))]
-                r, j = np.nonzero(sim >= least[:, None])  # all ties; the window below settles them
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(r)), ids.take(pa.array(j)), pa.array(sim[r, j])], names=["query_id", "id", "similarity"])
+                y /= np.sqrt((y * y).sum(axis=1))[:, None]
+                for s in range(0, len(y) if len(x) else 0, CORPUS_ROWS):
+                    for a in range(0, len(x), QUERY_ROWS):
+                        best.add(a, np.round(x[a : a + QUERY_ROWS] @ y[s : s + CORPUS_ROWS].T, 6), ids.slice(s, CORPUS_ROWS))
+            yield from best.batches(names)
 
         hits = c.mapInArrow(run, f"query_id {q_type}, id {id_type}, similarity double")
         best = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

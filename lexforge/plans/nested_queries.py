@@ -34,4 +34,18 @@ def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_objects": p5_objects, "p5_members": p5_members, "p5_entities": p5_entities}
-SQL: dict[str, str] = {}
+_VALUES = """
+    s AS (SELECT DISTINCT row_id, field, v FROM (SELECT row_id, 'metadata_api' AS field, metadata_api AS v FROM metadata UNION ALL SELECT row_id, 'diagram_json', diagram_json FROM metadata) WHERE json_valid(v)),
+    w AS (
+        SELECT row_id, field, v::JSON AS v, NULL::BIGINT AS up FROM s
+        UNION ALL
+        SELECT row_id, field, u.v, u.up FROM (
+            SELECT w.row_id, w.field, unnest(CASE
+                WHEN json_type(w.v) = 'OBJECT' THEN list_transform(map_values(json_transform(w.v, '"MAP(VARCHAR, JSON)"')), lambda x: {'v': x, 'up': coalesce(TRY_CAST(json_extract_string(w.v, '$.nodeId') AS BIGINT), w.up)})
+                WHEN json_type(w.v) = 'ARRAY' THEN list_transform(json_extract(w.v, '$[*]'), lambda x: {'v': x, 'up': w.up})
+                WHEN json_type(w.v) = 'VARCHAR' AND json_valid(w.v ->> '$') AND json_type(w.v ->> '$') IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN [{'v': (w.v ->> '$')::JSON, 'up': w.up}]
+            END) AS u FROM w))"""
+SQL: dict[str, str] = {
+    "p5_found": f"""WITH RECURSIVE {_VALUES} SELECT DISTINCT row_id, field, up AS parent_node, TRY_CAST(json_extract_string(v, '$.nodeId') AS BIGINT) AS child_node
+        FROM w WHERE row_id IS NOT NULL AND json_type(v) = 'OBJECT' AND up IS NOT NULL AND TRY_CAST(json_extract_string(v, '$.nodeId') AS BIGINT) IS NOT NULL""",
+}

@@ -11,6 +11,7 @@ from lexforge.operators import crawlstate as C
 from lexforge.operators import enrich, graph, html, retrieve, splitting, vectors
 from lexforge.schemas import LEVELS, MAX_LENGTHS
 from lexforge.session import table as t
+from lexforge.sources import paged, stores
 from lexforge.sources.files import count_lines
 from lexforge.streaming.ingest import ingest_new_items
 
@@ -185,8 +186,7 @@ def retry_rounds(spark: SparkSession, d: str) -> DataFrame:
     open_ = C.latest(t(spark, d, "failed_items").where("item_id is not null and item_id <> ''"), "item_id", _failed_order())
     least = {1: 99, 2: 4, 3: 3}
     rule = lambda r: ((F.length("item_id") + F.col("attempt") + r) % 3 == 0) & (F.lit(r == 1) | (F.col("attempt") < least[r]))
-    done = F.coalesce(*[F.when(rule(r), F.lit(r)) for r in (1, 2, 3)])
-    return open_.select("item_id", done.alias("resolved_round"))
+    return C.retry_rounds(open_, "item_id", rule)
 
 
 @query("SELECT item_id, doc_number, row_id, batch_no FROM metadata QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY row_id DESC NULLS LAST) = 1")
@@ -224,8 +224,8 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
 def pagination(spark: SparkSession, d: str) -> DataFrame:
     """Orders newest first, in pages of 20."""
     o = t(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    total = o.agg(X.page_count(F.count("*"), 20).cast("long").alias("n_pages"))
-    return C.paginate(o, [F.desc("o_orderdate"), F.asc("o_orderkey")]).join(F.broadcast(total), F.lit(True))
+    pages = o.agg(X.page_count(F.count("*"), 20).cast("long")).first()[0]
+    return C.paginate(o, [F.desc("o_orderdate"), F.asc("o_orderkey")]).withColumn("n_pages", F.lit(pages).cast("long"))
 
 
 @query("SELECT DISTINCT item_id FROM metadata WHERE item_id IS NOT NULL AND item_id <> ''")
@@ -233,6 +233,44 @@ def distinct_ids(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "metadata").where("item_id is not null and item_id <> ''").select("item_id").distinct()
 
 
+@query("""WITH m AS (SELECT item_id, doc_number, diagram_json FROM metadata WHERE item_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY row_id DESC NULLS LAST) = 1),
+    j AS (SELECT m.*, p.item_id IS NOT NULL AND coalesce(p.full_text_html, '') <> '' AS page FROM m LEFT JOIN html_files p ON p.item_id = m.item_id)
+    SELECT item_id, doc_number, CASE WHEN diagram_json IS NULL THEN 'diagram' WHEN NOT page THEN 'page' END AS failed_at_step,
+    CASE WHEN diagram_json IS NULL THEN 'status 404' WHEN NOT page THEN 'no answer' END AS reason FROM j""")
+def item_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Items with the answers of their diagram and page look-ups: complete ones, and failed ones with where and why."""
+    m = C.last_wins(t(spark, d, "metadata").where("item_id is not null").select("item_id", "doc_number", "diagram_json", "row_id"), "item_id", "row_id")
+    diagrams = m.select("item_id", F.when(F.col("diagram_json").isNull(), 404).otherwise(200).alias("status"), F.col("diagram_json").alias("body"))
+    pages = t(spark, d, "html_files").where("full_text_html <> ''").select("item_id", F.lit(200).alias("status"), F.col("full_text_html").alias("body"))
+    complete, failed = stores.item_chain(m.select("item_id", "doc_number"), diagrams, pages)
+    none = F.lit(None).cast("string")
+    return complete.select("item_id", "doc_number", none.alias("failed_at_step"), none.alias("reason")).unionByName(failed)
+
+
+def _listing(path: str):
+    """A listing of nations that filters itself: what a remote search does, over a small table."""
+
+    def fetch(page: int, size: int, filters: dict):
+        import json
+
+        import pyarrow.parquet as pq
+
+        rows = [r for r in pq.read_table(path, columns=["n_nationkey", "n_name", "n_regionkey"]).to_pylist()]
+        for name, (how, value) in filters.items():
+            rows = [r for r in rows if (str(r[name]) in value if how == "in" else value in str(r[name]))]
+        return [json.dumps(r) for r in rows[(page - 1) * size : page * size]], len(rows)
+
+    return fetch
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation WHERE n_regionkey IN (1, 2) AND contains(n_name, 'N')")
+def paged_listing(spark: SparkSession, d: str) -> DataFrame:
+    """A paged source that takes the filters itself."""
+    paged.register(spark, "nation_listing", _listing(f"{d}/nation.parquet"), ("n_nationkey", "n_name", "n_regionkey"))
+    got = spark.read.format("nation_listing").option("pageSize", 4).load()
+    return got.where(F.col("n_regionkey").isin("1", "2") & F.contains("n_name", F.lit("N"))).select("n_nationkey", "n_name")
+
+
 # --- projections ---------------------------------------------------------------------------------------------------------
 
 _VALID = "(SELECT *, CASE WHEN json_valid(metadata_api) THEN metadata_api END AS j FROM metadata)"
@@ -412,10 +450,9 @@ def size_route(spark: SparkSession, d: str) -> DataFrame:
     n AS (SELECT doc_id, pos + 1 AS chunk_no, regexp_replace(line, '^{X.SPACE}+|{X.SPACE}+$', '', 'g') AS line FROM l)
     SELECT doc_id, chunk_no, doc_id || '_chunk_' || chunk_no AS chunk_id, line FROM n WHERE length(line) > 0""")
 def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Lines numbered before blank ones are dropped. One exploded row has its number already: no shuffle."""
+    """Lines numbered before blank ones are dropped."""
     lines = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    n = lines.select("doc_id", (F.col("pos") + 1).cast("long").alias("chunk_no"), X.strip(F.col("line")).alias("line")).where(F.length("line") > 0)
-    return n.withColumn("chunk_id", F.concat("doc_id", F.lit("_chunk_"), F.col("chunk_no").cast("string")))
+    return splitting.number_chunks(lines, "doc_id", ["pos"], "line").select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "chunk_id", "line")
 
 
 # --- batches, counts, transcripts ----------------------------------------------------------------------------------------
@@ -452,8 +489,8 @@ def chat_history(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("turn"), F.col("event_type").alias("role"))
 
 
-@query()
+@query("SELECT DISTINCT item_id FROM metadata WHERE item_id IS NOT NULL")
 def streaming_ingest(spark: SparkSession, d: str) -> DataFrame:
     """New items of the feed, once each, as a stream to its end."""
     schema = t(spark, d, "metadata").schema
-    return ingest_new_items(spark, f"{d}/metadata.parquet*", schema, "item_id").select("item_id").distinct()
+    return ingest_new_items(spark, f"{d}/metadata.parquet*", schema, "item_id").select("item_id")

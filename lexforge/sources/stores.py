@@ -6,10 +6,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexforge.operators.crawlstate import last_wins, not_known, upsert
+from lexforge.operators.crawlstate import last_wins, not_known, number_rows, split_rejects, upsert
 from lexforge.session import materialize
 
 
@@ -78,6 +78,70 @@ def fetch_missing(requests: DataFrame, cache: UpsertTable, fetch: Callable[[str]
     return out
 
 
+def item_chain(items: DataFrame, diagrams: DataFrame, pages: DataFrame, key: str = "item_id") -> tuple[DataFrame, DataFrame]:
+    """(complete, failed): items joined to the answers of their two look-ups (key, status, body), diagram then page.
+
+    An item comes out complete only if both answered with 200, once for each key; a diagram that isn't JSON is null and doesn't stop its item.
+    The others come out as failed, with the look-up that failed and why; the page isn't asked for where the diagram failed.
+    """
+    reply = lambda df, name: df.where(F.col(key).isNotNull()).select(key, F.struct("status", "body").alias(name)).dropDuplicates([key])
+    j = items.where(F.col(key).isNotNull()).dropDuplicates([key]).join(reply(diagrams, "_d"), key, "left").join(reply(pages, "_p"), key, "left")
+    fine = lambda name: F.coalesce(F.col(f"{name}.status") == 200, F.lit(False))
+    why = lambda name: F.coalesce(F.concat(F.lit("status "), F.col(f"{name}.status").cast("string")), F.lit("no answer"))
+    j = j.withColumn("failed_at_step", F.when(~fine("_d"), "diagram").when(~fine("_p"), "page")).withColumn("reason", F.when(~fine("_d"), why("_d")).when(~fine("_p"), why("_p")))
+    data = F.to_json(F.coalesce(F.try_variant_get(F.try_parse_json("_d.body"), "$.data", "variant"), F.parse_json(F.lit("{}"))))
+    diagram = F.when(F.try_parse_json("_d.body").isNotNull(), data)
+    own = [c for c in items.columns if c not in ("diagram_json", "full_text_html")]
+    complete = j.where("failed_at_step is null").select(*own, diagram.alias("diagram_json"), F.col("_p.body").alias("full_text_html"))
+    return complete, j.where("failed_at_step is not null").select(*own, "failed_at_step", "reason")
+
+
+def append_failed(failed: DataFrame, path: str) -> None:
+    """Append failed items to the list that ``rescue`` starts from, as JSON lines with the time."""
+    failed.withColumn("failed_at", F.current_timestamp()).write.mode("append").json(path)
+
+
+def append_transcript(turns: DataFrame, path: str) -> None:
+    """Append (session_id, role, content) to the transcripts; ``read_transcript`` gives them back in order."""
+    turns.withColumn("said_at", F.current_timestamp()).withColumn("_n", F.monotonically_increasing_id()).write.mode("append").parquet(path)
+
+
+def read_transcript(spark: SparkSession, path: str) -> DataFrame:
+    """(session_id, turn, role, content): the turns of each session, numbered from 1 in the order of writing."""
+    w = Window.partitionBy("session_id").orderBy("said_at", "_n")
+    return spark.read.parquet(path).select("session_id", F.row_number().over(w).alias("turn"), "role", "content")
+
+
+def write_markdown(pages: DataFrame, path: str) -> None:
+    """One file ``doc_id``.md for each row (doc_id, md) in ``path``; a file of the same name is written anew. ``path`` is one all executors see."""
+    conf = pages.sparkSession.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        where = path if "://" in path or path.startswith("file:") else f"{conf.rstrip('/')}{path}" if not conf.startswith("file:") else f"file://{path}"
+        store, base = fs.FileSystem.from_uri(where.replace("file:///", "file:///", 1))
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            for name, text in zip(b.doc_id, b.md):
+                with store.open_output_stream(f"{base}/{str(name).replace('/', '_')}.md") as f:
+                    f.write((text or "").encode("utf-8"))
+            yield pd.DataFrame({"n": [len(b)]})
+
+    pages.where("doc_id is not null").select("doc_id", "md").mapInPandas(run, "n long").write.format("noop").mode("overwrite").save()
+
+
+def insert_batches(rows: DataFrame, path: str, checks: dict, order: str, size: int = 1000) -> tuple[DataFrame, int]:
+    """Insert ``rows`` in batches of ``size`` under ``order``, one folder of ``path`` each; rows that fail a check are set aside one by one.
+
+    Gives the rejected rows with their reasons and the number of stored ones.
+    """
+    good, bad = split_rejects(rows, checks)
+    numbered = number_rows(good, [F.asc(order)]).withColumn("batch_no", F.floor((F.col("position") - 1) / size)).drop("position")
+    numbered.write.mode("append").partitionBy("batch_no").parquet(path)
+    return bad, rows.sparkSession.read.parquet(path).count()
+
+
 def rescue(failed: DataFrame, attempt: Callable[[DataFrame, int], DataFrame], key: str, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """(rescued, still failed): ``attempt(open, round)`` gives the rows that succeed now; at most ``rounds`` rounds, fewer if none is left."""
     open_, done = materialize(failed, "rescue-open"), None

@@ -30,7 +30,7 @@ def brute(texts):
         v = _spelled(v)
         if isinstance(v, dict):
             nid = v.get("nodeId")
-            if nid is not None and not isinstance(nid, bool) and re.fullmatch(r"-?\d{1,18}", str(nid)):
+            if nid is not None and not isinstance(nid, bool) and re.fullmatch(r"-?\d+", str(nid)) and -(1 << 63) <= int(nid) < 1 << 63:
                 if par is not None:
                     out.add((row, par, int(nid)))
                 par = int(nid)
@@ -151,3 +151,19 @@ def test_strings_within_strings_of_any_depth():
         s = json.dumps(s)
     t = '{"nodeId":1,"a":' + s + "}"
     assert fast([t]) == brute([t]) == {(0, 1, 2)}
+
+
+def test_ids_of_64_bits():
+    big = (1 << 63) - 1
+    texts = [json.dumps({"nodeId": 1234567890123456789, "a": [{"nodeId": big}, {"nodeId": str(-big - 1)}, {"nodeId": "0000000000000000000000000012"}, {"nodeId": big + 1}, {"nodeId": "9" * 30}]})]
+    assert fast(texts) == brute(texts) == {(0, 1234567890123456789, x) for x in (big, -big - 1, 12)}
+
+
+def test_json_in_strings_of_twenty_layers():
+    v = {"nodeId": 2}
+    for _ in range(20):
+        v = json.dumps(v)
+        if len(v) > 3_000_000:
+            break
+    text = json.dumps({"nodeId": 1, "a": v}) if len(json.dumps(v)) < 40_000_000 else None
+    assert text is None or fast([text]) == {(0, 1, 2)}

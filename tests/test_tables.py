@@ -187,3 +187,69 @@ def test_rescue_stops_when_nothing_is_left(spark):
 
     done, left = stores.rescue(spark.createDataFrame([(1,), (2,), (4,)], "id int"), attempt, "id")
     assert rows(done, "id") == [(1,), (2,), (4,)] and left.isEmpty() and seen == [1, 2]
+
+
+def test_item_chain_needs_both_answers(spark):
+    from lexforge.sources import stores
+
+    items = spark.createDataFrame([("1", "A"), ("2", "B"), ("3", "C"), ("4", "D"), ("4", "D"), (None, "E")], "item_id string, doc_number string")
+    diagrams = spark.createDataFrame([("1", 200, '{"data": {"k": 1}}'), ("2", 500, None), ("3", 200, "not json"), ("4", 200, "{}")], "item_id string, status int, body string")
+    pages = spark.createDataFrame([("1", 200, "<p>"), ("2", 200, "<p>"), ("3", 200, "<b>"), ("9", 200, "x")], "item_id string, status int, body string")
+    done, failed = stores.item_chain(items, diagrams, pages)
+    assert rows(done, "item_id", "diagram_json", "full_text_html") == [("1", '{"k":1}', "<p>"), ("3", None, "<b>")]
+    assert rows(failed, "item_id", "failed_at_step", "reason") == [("2", "diagram", "status 500"), ("4", "page", "no answer")]
+
+
+def test_sinks(spark, tmp_path):
+    from lexforge.sources import stores
+
+    stores.append_failed(spark.createDataFrame([("7", "page")], "item_id string, failed_at_step string"), str(tmp_path / "failed"))
+    stores.append_failed(spark.createDataFrame([("8", "diagram")], "item_id string, failed_at_step string"), str(tmp_path / "failed"))
+    assert rows(spark.read.json(str(tmp_path / "failed")), "item_id") == [("7",), ("8",)]
+    for turn in ([("s", "user", "hỏi"), ("t", "user", "khác")], [("s", "assistant", "đáp")]):
+        stores.append_transcript(spark.createDataFrame(turn, "session_id string, role string, content string"), str(tmp_path / "chat"))
+    assert rows(stores.read_transcript(spark, str(tmp_path / "chat")), "session_id", "turn", "content") == [("s", 1, "hỏi"), ("s", 2, "đáp"), ("t", 1, "khác")]
+    stores.write_markdown(spark.createDataFrame([("5", "# Điều"), ("6/7", None)], "doc_id string, md string"), str(tmp_path / "md"))
+    assert {p.name: p.read_text() for p in (tmp_path / "md").iterdir()} == {"5.md": "# Điều", "6_7.md": ""}
+    items = spark.createDataFrame([(f"{i:02d}" if i != 3 else "x" * 30,) for i in range(12)], "id string")
+    bad, n = stores.insert_batches(items, str(tmp_path / "in"), {"id": F.length("id") < 10}, "id", 5)
+    assert n == 11 and [r.id for r in bad.collect()] == ["x" * 30]
+    assert rows(spark.read.parquet(str(tmp_path / "in")).groupBy("batch_no").count(), "batch_no", "count") == [(0, 5), (1, 5), (2, 1)]
+
+
+def test_listing_takes_filters(spark):
+    def fetch(page, size, filters):
+        rows = [{"id": str(i), "kind": "NĐ" if i % 2 else "TT"} for i in range(10)]
+        for name, (how, value) in filters.items():
+            rows = [r for r in rows if (r[name] in value if how == "in" else value in r[name])]
+        return [json.dumps(r) for r in rows[(page - 1) * size : page * size]], len(rows)
+
+    paged.register(spark, "typed_listing", fetch, ("id", "kind"))
+    df = spark.read.format("typed_listing").option("pageSize", 2).load().where("kind = 'NĐ' and id in ('1', '3', '4')")
+    assert rows(df, "id", "page") == [("1", 1), ("3", 1)]
+
+    def broken(page, size, filters):
+        raise OSError("no such host")
+
+    paged.register(spark, "broken_listing", broken)
+    assert [(r.page, r.item, r.error) for r in spark.read.format("broken_listing").load().collect()] == [(1, None, "no such host")]
+
+
+def test_search_keeps_a_running_best(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 7)
+    monkeypatch.setattr(vectors, "CORPUS_ROWS", 13)
+    r = np.random.default_rng(2)
+    x, y = r.integers(-2, 3, (20, 4)), r.integers(-2, 3, (300, 4))
+    q = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "query_id bigint, vec array<float>")
+    c = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(y)], "id bigint, vec array<float>").coalesce(1)
+    want = {}
+    for i, v in enumerate(x):
+        if v.any():
+            sim = [(-round(float(v @ w / np.sqrt((v @ v) * (w @ w))), 6), j) for j, w in enumerate(y) if w.any()]
+            want[i] = [j for _, j in sorted(sim)[:3]]
+    got = {}
+    for g in vectors.search(q, c, 3, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(g.query_id, []).append(g.id)
+    assert got == want
