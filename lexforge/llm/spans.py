@@ -2,13 +2,14 @@
 
 Every text is cut into non-overlapping reference blocks of half the least length; a stretch of the least length holds a
 whole block wherever it lies. The blocks are the index and every rolling window of every text probes it. A block and the
-windows are keyed by their landmark: the leftmost of the grams (shorter windows) within it whose hash is least. Equal windows
-have equal landmarks at equal offsets, and neighbouring windows mostly share one, so that a run of windows of one landmark
-probes as one row. What is shuffled is a fixed small part of the characters, whatever the size of the corpus: no filter has
-to be sized, none fills up. Hits on one diagonal of two texts are extended to their maximal exact repeats by comparing the
-texts themselves.
-
-A landmark that stands in very many places (a footer, a ruled line) would give pairs for nothing. Windows of the full least
+windows are found by their landmark: the leftmost of the grams (short windows) within it whose hash is least. Equal windows
+have equal landmarks at equal offsets, and neighbouring windows mostly share one. A landmark is keyed by the hashes of the two
+windows of a block's size that begin and that end with it; one of them lies within the shared stretch with the block. So a run of
+windows of one landmark probes as two rows, equal keys mean equal windows, and what is shuffled is a fixed small part of the
+characters, whatever the size of the corpus: no filter has to be sized, none fills up. Hits on one diagonal of two texts are
+extended to their maximal exact repeats by comparing the texts themselves.
+
+A key that stands in very many places (a footer, a ruled line) would give pairs for nothing. Windows of the full least
 length around such places are looked at instead, first by nearly as long landmarks, then by their own hashes; only texts that
 do share such a window make a pair, and pairs of a hot window are made by many tasks (salted).
 
@@ -32,7 +33,7 @@ from lexforge.llm import textkit as K
 from lexforge.llm.blocks import by_chars, expand_classes, keep_known, one_of_each
 from lexforge.session import materialize, ship_package
 
-#: Places of a landmark beyond which its surroundings are looked at by windows of the full length. Changes the plan, not the rows.
+#: Places of a key beyond which its surroundings are looked at by windows of the full length. Changes the plan, not the rows.
 HOT_BLOCK = 200
 #: Texts of one window that meet in a task as one side of the pairs.
 PAIR_BLOCK = 2_000
@@ -89,23 +90,94 @@ def landmark_runs(texts: list[str], size: int, gram: int) -> Iterator[tuple[np.n
         yield text, h[mark[i]].view(np.int64), mark[i] + shift, s[i] + shift, s[j] + shift
 
 
-def landmarks(size: int, gram: int, around: int = 0):
-    """(h, sid, pos, first, last, off): runs of windows of one landmark; off is its offset in the reference block among them (-1: there is none).
+def anchors(size: int, gram: int):
+    """(h, sid, pos, block): the windows of ``size`` that begin and that end with a landmark; block is 1 if it is one of a reference block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            sids, texts = rb.column("sid").to_numpy(), rb.column("text").to_pylist()
+            for lo, hi in by_chars(texts):
+                part = texts[lo:hi]
+                n = np.fromiter(map(len, part), np.int64, len(part))
+                base, held = np.cumsum(n) - n, K.prefix_hash(K.codes("".join(part)))
+                for text, _, pos, first, last in landmark_runs(part, size, gram):
+                    block = (-(-first // size) * size <= last).astype(np.int32)
+                    text, start, block = np.concatenate([text, text]), np.concatenate([pos, pos + gram - size]), np.concatenate([block, block])
+                    fits = (start >= 0) & (start + size <= n[text])
+                    text, start, block = text[fits], start[fits], block[fits]
+                    h = K.span_hash(held, base[text] + start, base[text] + start + size)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sids[lo:hi][text]), pa.array(start.astype(np.int32)), pa.array(block)], names=["h", "sid", "pos", "block"])
+
+    return run
+
+
+def key_pairs(hot: int):
+    """Over rows sorted by h: diagonals (kind 0, sid_a, sid_b, delta) of a block and a window of equal key; of a key of more than ``hot`` rows those rows (kind 1, sid, pos)."""
+
+    def out(kind, a, b, c):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32))] + [pa.array(x.astype(np.int64)) for x in (a, b, c)], names=["kind", "x", "y", "delta"])
+
+    def solve(h: np.ndarray, sid: np.ndarray, pos: np.ndarray, block: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
+        size = np.repeat(np.diff(edge), np.diff(edge))
+        big = size > hot
+        if big.any():
+            yield out(1, sid[big], sid[big], pos[big])
+        some = (size > 1) & ~big
+        h, sid, pos, block = h[some], sid[some], pos[some], block[some]
+        i, step = np.arange(len(h)), 1
+        while len(i):
+            i = i[i + step < len(h)]
+            i = i[h[i] == h[i + step]]
+            j = i + step
+            ok = (sid[i] != sid[j]) & ((block[i] | block[j]) == 1)
+            a, b, d = sid[i[ok]], sid[j[ok]], pos[i[ok]] - pos[j[ok]]
+            if len(a):
+                flip = a > b
+                yield out(0, np.where(flip, b, a), np.where(flip, a, b), np.where(flip, -d, d))
+            step += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size, open_hot = 0, None
+        for rb in batches:
+            rows = [rb.column(c).to_numpy() for c in ("h", "sid", "pos", "block")]
+            if open_hot is not None:  # the rest of a key already known to be hot
+                n = int(np.searchsorted(rows[0] != open_hot, True))
+                if n:
+                    yield out(1, rows[1][:n], rows[1][:n], rows[2][:n])
+                if n == len(rows[0]):
+                    continue
+                rows, open_hot = [x[n:] for x in rows], None
+            held.append(rows)
+            size += len(rows[0])
+            if size < 50_000:
+                continue
+            rows = [np.concatenate([x[c] for x in held]) for c in range(4)]
+            last = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if (rows[0] != rows[0][-1]).any() else 0
+            yield from solve(*(x[:last] for x in rows))
+            rest = [x[last:] for x in rows]
+            if len(rest[0]) > hot:
+                open_hot = rest[0][0]
+                yield out(1, rest[1], rest[1], rest[2])
+                held, size = [], 0
+            else:
+                held, size = [rest], len(rest[0])
+        if held:
+            yield from solve(*(np.concatenate([x[c] for x in held]) for c in range(4)))
+
+    return run
+
 
-    With ``around``, (h, sid, pos, first, last, off) have in off the hash of the landmark with that many characters on either side (null at the ends of a text).
-    """
+def landmarks(size: int, gram: int, around: int):
+    """(h, sid, pos, first, last, off): runs of windows of one landmark; off is the hash of the landmark with ``around`` characters on either side (null at the ends of a text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             sids, texts = rb.column("sid").to_numpy(), rb.column("text").to_pylist()
             for text, h, pos, first, last in landmark_runs(texts, size, gram):
-                if around:
-                    off = _surroundings(texts, text, pos, gram, around)
-                else:
-                    block = -(-first // size) * size
-                    off = pa.array(np.where(block <= last, pos - block, -1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(sids[text]), pa.array(pos.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), off],
+                    [pa.array(h), pa.array(sids[text]), pa.array(pos.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), _surroundings(texts, text, pos, gram, around)],
                     names=["h", "sid", "pos", "first", "last", "off"],
                 )
 
@@ -207,26 +279,19 @@ def _window_pairs(texts: DataFrame, rows: DataFrame, least: int) -> DataFrame:
 
 
 def _cold_and_hot(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate diagonals (sid_a, sid_b, delta), and pairs (sid_a, sid_b) around hot landmarks if there are any."""
+    """Candidate diagonals (sid_a, sid_b, delta), and pairs (sid_a, sid_b) around hot keys if there are any."""
     size = least // 2
-    gram = max(1, size * 8 // 25)
-    rows = materialize(texts.mapInArrow(landmarks(size, gram), "h long, sid long, pos int, first int, last int, off long"), "spans-landmarks")
-    keys = materialize(_in_two(rows, "h"), "spans-keys")
-    live = rows.join(keys, "h")
-    cold = materialize(live.where(F.col("n") <= HOT_BLOCK), "spans-cold")
-    blocks = cold.where("off >= 0").select("h", F.col("sid").alias("y"), F.col("pos").alias("q"), "off")
-    # a window of x begins where the block would: the landmark less its offset
-    hits = cold.drop("off", "n").join(blocks, "h").where("sid <> y and pos - off between first and last")
-    flip = F.col("sid") > F.col("y")
-    pairs = hits.select(
-        F.least("sid", "y").alias("sid_a"), F.greatest("sid", "y").alias("sid_b"),
-        F.when(flip, F.col("q") - F.col("pos")).otherwise(F.col("pos") - F.col("q")).alias("delta"),
-    ).distinct()
-    if keys.where(F.col("n") > HOT_BLOCK).isEmpty():
+    gram = max(1, size * 3 // 25)
+    rows = texts.mapInArrow(anchors(size, gram), "h long, sid long, pos int, block int")
+    found = rows.repartition("h").sortWithinPartitions("h").mapInArrow(key_pairs(HOT_BLOCK), "kind int, x long, y long, delta long")
+    found = materialize(found, "spans-found")
+    pairs = found.where("kind = 0").select(F.col("x").alias("sid_a"), F.col("y").alias("sid_b"), "delta").distinct()
+    hot = found.where("kind = 1")
+    if hot.isEmpty():
         return pairs, None
-    places = live.where(F.col("n") > HOT_BLOCK).groupBy("sid").agg(F.collect_set("pos").alias("places"))
+    places = hot.groupBy(F.col("x").alias("sid")).agg(F.collect_set(F.col("delta").cast("int")).alias("places"))
     long_gram = max(gram, least - max(1, least // 20))
-    around = materialize(_with_texts(texts, places, "spans-places").mapInArrow(landmarks_at(least, long_gram, gram), "h long, sid long, first int, last int"), "spans-around")
+    around = materialize(_with_texts(texts, places, "spans-places").mapInArrow(landmarks_at(least, long_gram, size), "h long, sid long, first int, last int"), "spans-around")
     return pairs, _window_pairs(texts, around.join(_in_two(around, "h"), "h", "left_semi"), least)
 
 
