@@ -2,7 +2,7 @@
 
 Test items and documents are folded alike (no case, marks, punctuation, line ends, Unicode form; see textkit), and a text is the
 sequence of its words' numbers. Every run of n words of an item holds a whole one of the item's blocks of (n + 1) / 2 words, so
-the automaton holds these blocks, in proportion to the items' words; it scans each text once. A hit is extended in both
+the automaton holds these blocks, in proportion to the items' words; it scans each text once, but for texts that a hash of their runs shows to hold no block. A hit is extended in both
 directions as far as item and document have the same words, and counts if that makes n. The words' places are mapped to the
 original. Only items of more than BLOCK_WORDS words together take a further scan, so what is broadcast is bounded.
 
@@ -47,6 +47,18 @@ def _automaton(name: str, items: list[np.ndarray], size: int):
     return _automata[name]
 
 
+def _block_hashes(numbers: np.ndarray, size: int, step: int = 1) -> np.ndarray:
+    """Hashes of the runs of ``size`` words that begin every ``step`` words."""
+    w = numbers.astype(np.uint64)
+    m = len(w) - size + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    s = w[:m:step] + np.uint64(1)
+    for k in range(1, size):
+        s = K.mix(s * np.uint64(0x9FB21C651E98DF25) + w[k : k + m : step])
+    return s
+
+
 def _item_blocks(items: DataFrame, id_col: str, text_col: str, n: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     """(ids, word hashes) of test items, in blocks, streamed to the driver one partition at a time."""
     ids, words, size = [], [], 0
@@ -98,10 +110,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
     out, size = None, (n + 1) // 2
     for ids, hashes in _item_blocks(items, item_id, item_text, n):
         vocabulary = np.unique(np.concatenate(hashes))
-        held = spark.sparkContext.broadcast((uuid.uuid4().hex, ids, vocabulary, [np.searchsorted(vocabulary, w).astype(np.int32) for w in hashes]))
+        numbers = [np.searchsorted(vocabulary, w).astype(np.int32) for w in hashes]
+        blocks = np.unique(np.concatenate([_block_hashes(w, size, size) for w in numbers]))
+        held = spark.sparkContext.broadcast((uuid.uuid4().hex, ids, vocabulary, numbers, blocks))
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            name, ids, vocabulary, numbers = held.value
+            name, ids, vocabulary, numbers, blocks = held.value
             a, items_ = _automaton(name, numbers, size), [w.tolist() for w in numbers]
             for rb in batches:
                 doc_ids, texts = rb.column("doc_id").to_pylist(), rb.column("text").to_pylist()
@@ -111,7 +125,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
                     at = np.minimum(np.searchsorted(vocabulary, w), len(vocabulary) - 1)
                     at = np.where(vocabulary[at] == w, at, len(vocabulary))  # words of no item
                     edge = np.searchsorted(of, np.arange(hi - lo + 1))
-                    for k in range(hi - lo):
+                    # a text without the hash of any block has none of them: the automaton needn't see it
+                    h = _block_hashes(at, size)
+                    place_ = np.minimum(np.searchsorted(blocks, h), len(blocks) - 1)
+                    hit = (blocks[place_] == h) & (of[: len(h)] == of[size - 1 :]) if len(h) else np.zeros(0, dtype=bool)
+                    for k in np.unique(of[: len(h)][hit]).tolist():
                         spans: dict[int, list] = {}
                         for i, p, s, m in _common_runs(a, at[edge[k] : edge[k + 1]].tolist(), items_, size, n):
                             x = spans.setdefault(i, [s, s + m, set()])
