@@ -97,14 +97,11 @@ def shingles(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, n
 
 def _folded_codes(texts: list[str | None]) -> np.ndarray:
     """Codes of the texts between separators, without case, marks and compatibility forms; đ is d, a final sigma a sigma."""
-    joined = unicodedata.normalize("NFKD", join_texts(texts)).replace("Σ", "σ").lower().translate(_SAME)
+    joined = unicodedata.normalize("NFKD", join_texts(texts)).replace("Σ", "σ").lower().replace("đ", "d").replace("ł", "l").replace("ς", "σ")
     c = codes(joined)
     return c[~mark_chars()[c]]
 
 
-_SAME = {ord("đ"): "d", ord("ł"): "l", ord("ς"): "σ"}
-
-
 def folded(texts: list[str | None]) -> list[str]:
     """Each text as its words between single blanks, without case, marks and compatibility forms; đ is d. Has a blank at either end."""
     c = _folded_codes(texts)
